@@ -54,11 +54,13 @@ def raw_features(
     depends on the whole past, adds the total of earlier blocks from a pass over close and volume.
     """
     wanted = columns_of(groups)
+    rows = joined = number_rows(bars)
     if "macro" in groups:
         zero = {c: F.lit(0.0) for c in GROUPS["macro"]}
-        bars = join_macro(bars, macro_returns) if macro_returns is not None else bars.withColumns(zero)
+        joined = join_macro(joined, macro_returns) if macro_returns is not None else joined.withColumns(zero)
     if "sentiment" in groups:
-        bars = join_sentiment(bars, sentiment) if sentiment is not None else bars.withColumn("Sentiment_Score", F.lit(0.0))
+        no_news = {"Sentiment_Score": F.lit(0.0)}
+        joined = join_sentiment(joined, sentiment) if sentiment is not None else joined.withColumns(no_news)
 
     before, spans = 50, []
     if "rsi" in groups:
@@ -101,8 +103,7 @@ def raw_features(
             df = macd_columns(df, w)
         return df
 
-    rows = number_rows(bars)
-    out = windowed(rows, build, before=before, after=1, size=size, keep=("_block", "_rn"))
+    out = windowed(joined, build, before=before, after=1, size=size, keep=("_block", "_rn"))
     if "OBV" in wanted or "OBV_ROC_5" in wanted:
         out = out.join(_obv_carry(rows, size), ["symbol", "_block"])
         out = out.withColumn("OBV", F.col("_obv") + F.coalesce("_carry", F.lit(0)))
