@@ -74,16 +74,19 @@ def _spans(df: DataFrame) -> DataFrame:
 
 @query(
     "features_fallback_zero",
-    f"WITH {S.BARS}, head AS (SELECT * FROM bars WHERE symbol <> '1-URGENT' OR date < DATE '1995-02-01'), "
-    f"{S.features('head', join=False)}, marked AS (SELECT *, {S.complete(EDA_COLUMNS)} AS ok FROM feat), "
+    f"WITH {S.BARS}, young AS (SELECT CASE WHEN symbol = '1-URGENT' "
+    "THEN concat(symbol, '/', year(date), '/', month(date)) ELSE symbol END AS symbol, date, open, high, low, close, volume "
+    f"FROM bars), {S.features('young', join=False)}, marked AS (SELECT *, {S.complete(EDA_COLUMNS)} AS ok FROM feat), "
     "anyok AS (SELECT symbol, max(ok) AS any_ok FROM marked GROUP BY symbol) "
     + "SELECT symbol, date, "
     + ", ".join(f"{S.r(f'coalesce({c}, 0)', DIGITS[c])} AS {c}" for c in EDA_COLUMNS)
     + " FROM marked JOIN anyok USING (symbol) WHERE ok OR NOT any_ok",
 )
 def features_fallback_zero(spark: SparkSession, sf: str) -> DataFrame:
-    b = views.bars(spark, sf).filter("symbol <> '1-URGENT' OR date < DATE '1995-02-01'")
-    return show(FT.features(b, training=False, groups=FT.EDA), "symbol", "date", **digits(EDA_COLUMNS))
+    # One symbol becomes a young symbol per month, too short for any complete row.
+    month = F.concat_ws("/", "symbol", F.year("date"), F.month("date"))
+    young = views.bars(spark, sf).withColumn("symbol", F.when(F.col("symbol") == "1-URGENT", month).otherwise(F.col("symbol")))
+    return show(FT.features(young, training=False, groups=FT.EDA), "symbol", "date", **digits(EDA_COLUMNS))
 
 
 @query(
