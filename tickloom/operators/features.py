@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
 from tickloom.functions.scalar import calendar_features, ratio
-from tickloom.operators.bars import join_macro, join_sentiment
+from tickloom.operators.bars import join_macro, join_sentiment, macro_range, macro_returns
 from tickloom.operators.columns import keep_complete
 from tickloom.operators.indicators import macd_columns, rsi_columns
 from tickloom.operators.series import BLOCK_ROWS, exclusive_prefix, number_rows, windowed
@@ -134,3 +134,13 @@ def features(
 def eda_features(bars: DataFrame) -> DataFrame:
     """Technical features only; an undefined RSI stays NULL and every incomplete row is dropped."""
     return raw_features(bars, groups=EDA, rsi_flat=None).na.drop()
+
+
+def training_set(bars: DataFrame, macro_long: DataFrame, sentiment: DataFrame | None = None) -> DataFrame:
+    """Training features with the macro series cut to the range of the bars (plus the padding).
+
+    The range is one row from an aggregate, joined as a scalar and not fetched to the driver.
+    """
+    span = bars.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    inside = macro_range(macro_long.join(F.broadcast(span)), F.col("_lo"), F.col("_hi")).drop("_lo", "_hi")
+    return features(bars, macro_returns(inside), sentiment, training=True)

@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from tickloom.plans import feature_tables, statistics, windows  # noqa: F401
+from tickloom.plans import feature_tables, statistics, tables, windows  # noqa: F401
 from tickloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
