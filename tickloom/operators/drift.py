@@ -33,10 +33,10 @@ def gated(reference: DataFrame, current: DataFrame, min_rows: int = MIN_ROWS) ->
     return counts.join(reference.select("symbol").distinct(), "symbol", "left_semi")
 
 
-def drift_input(
-    reference: DataFrame, current: DataFrame, features: Sequence[str] | None = None, missing: str = "skip", min_rows: int = MIN_ROWS
+def long_sides(
+    reference: DataFrame, current: DataFrame, features: Sequence[str] | None = None, missing: str = "skip"
 ) -> DataFrame:
-    """Both sides as (symbol, feature, side, value), symbols that do not pass the gate left out.
+    """Both sides as (symbol, feature, side, value).
 
     A feature that only the reference has is skipped, or compared as its reference mean with ``missing="ref_mean"``.
     """
@@ -50,8 +50,15 @@ def drift_input(
         return typed.unpivot("symbol", shared, "feature", "value").withColumn("side", F.lit(side))
 
     both = long(reference, "reference").unionByName(long(current, "current"))
+    return both.filter(F.col("value").isNotNull()).select(*KEYS, "side", "value")
+
+
+def drift_input(
+    reference: DataFrame, current: DataFrame, features: Sequence[str] | None = None, missing: str = "skip", min_rows: int = MIN_ROWS
+) -> DataFrame:
+    """``long_sides`` of the symbols that pass the gate."""
     symbols = gated(reference, current, min_rows).select("symbol")
-    return both.filter(F.col("value").isNotNull()).join(symbols, "symbol", "left_semi").select(*KEYS, "side", "value")
+    return long_sides(reference, current, features, missing).join(symbols, "symbol", "left_semi")
 
 
 def ordered_sides(long: DataFrame) -> DataFrame:
@@ -129,8 +136,9 @@ def drift(
     ``auto`` takes Kolmogorov-Smirnov for up to 1,000 reference rows and Wasserstein beyond.
     For ``ks`` the statistic is the p-value and low means drift, for the others high means drift.
     """
-    long = drift_input(reference, current, features, missing, min_rows)
-    return judge(long, ordered_sides(long), method, threshold)
+    long = long_sides(reference, current, features, missing)
+    gate = gated(reference, current, min_rows).select("symbol")  # applied to the few result rows, not to the input
+    return judge(long, ordered_sides(long), method, threshold).join(gate, "symbol", "left_semi")
 
 
 def judge(long: DataFrame, sides: DataFrame, method: str = "ks", threshold: float | None = None) -> DataFrame:
@@ -183,9 +191,10 @@ def report(
     min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """Per feature: count, mean, deviation and quantiles of both sides, with the test result."""
-    long = drift_input(reference, current, features, missing, min_rows)
+    long = long_sides(reference, current, features, missing)
     sides = ordered_sides(long)
-    out = judge(long, sides, method, threshold)
+    gate = gated(reference, current, min_rows).select("symbol")
+    out = judge(long, sides, method, threshold).join(gate, "symbol", "left_semi")
 
     def only(side: str) -> Column:
         return F.when(F.col("side") == side, F.col("value"))

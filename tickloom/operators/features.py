@@ -11,7 +11,7 @@ from tickloom.functions import rolling as R
 from tickloom.functions.scalar import calendar_features, ratio
 from tickloom.operators.bars import join_macro, join_sentiment, macro_range, macro_returns
 from tickloom.operators.columns import keep_complete
-from tickloom.operators.indicators import macd_columns, rsi_columns
+from tickloom.operators.indicators import macd_line, rsi_averages, rsi_moves, rsi_value
 from tickloom.operators.series import BLOCK_ROWS, exclusive_prefix, number_rows, windowed
 from tickloom.schemas import MACRO_SERIES, TARGET
 
@@ -65,43 +65,46 @@ def raw_features(
     before, spans = 50, []
     if "rsi" in groups:
         before, spans = R.ema_reach(14) + 1, [14]
-    if "macd" in groups or "macd_hist" in groups:
+    if "macd" in groups or "macd_hist" in groups:  # reaches further back than RSI
         before, spans = R.ema_reach(26, 9), [*spans, 9, 12, 26]
     if spans:
         size = R.ema_block(before, spans, size)
     size = max(size, before)
 
+    macd = "macd" in groups or "macd_hist" in groups
+
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        df = df.withColumns({"Log_Return": R.log_return("close", w), "_signed": R.signed_volume(w), "_tr": R.true_range(w)})
-        df = df.withColumns(
-            {
-                TARGET: F.lead("Log_Return", 1).over(w),
-                **R.lags("Log_Return", LAGS, w),
-                "_sma20": R.sma("close", 20, w),
-                "_sma50": R.sma("close", 50, w),
-                "_std20": R.rolling_std("close", 20, w),
-                "Rolling_Std_14": R.rolling_std("Log_Return", 14, w),
-                "Volume_Shock": ratio("volume", R.sma("volume", 10, w)),
-                "Volume_ROC_5": R.pct_change("volume", 5, w),
-                "ATR_14": R.sma("_tr", 14, w),
-                "_signed5": F.sum("_signed").over(w.rowsBetween(-4, 0)),
-                "_obv": F.sum(F.when(F.col("_own"), F.col("_signed"))).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            }
-        )
-        df = df.withColumns(
-            {
-                "Distancia_SMA_20": ratio("close", "_sma20") - 1,
-                "Distancia_SMA_50": ratio("close", "_sma50") - 1,
-                "Bollinger_Width": ratio(4 * F.col("_std20"), "_sma20"),
-                "ATR_Pct": ratio("ATR_14", "close"),
-                **calendar_features("date"),
-            }
-        )
+        # One layer of columns per dependency on another window: each layer is one pass over the sorted block.
+        first = {"Log_Return": R.log_return("close", w), "_signed": R.signed_volume(w), "_tr": R.true_range(w)}
+        second = {
+            TARGET: F.lead("Log_Return", 1).over(w),
+            **R.lags("Log_Return", LAGS, w),
+            "_sma20": R.sma("close", 20, w),
+            "_sma50": R.sma("close", 50, w),
+            "_std20": R.rolling_std("close", 20, w),
+            "Rolling_Std_14": R.rolling_std("Log_Return", 14, w),
+            "Volume_Shock": ratio("volume", R.sma("volume", 10, w)),
+            "Volume_ROC_5": R.pct_change("volume", 5, w),
+            "ATR_14": R.sma("_tr", 14, w),
+            "_signed5": F.sum("_signed").over(w.rowsBetween(-4, 0)),
+            "_obv": F.sum(F.when(F.col("_own"), F.col("_signed"))).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        }
+        third = {
+            "Distancia_SMA_20": ratio("close", "_sma20") - 1,
+            "Distancia_SMA_50": ratio("close", "_sma50") - 1,
+            "Bollinger_Width": ratio(4 * F.col("_std20"), "_sma20"),
+            "ATR_Pct": ratio("ATR_14", "close"),
+            **calendar_features("date"),
+        }
         if "rsi" in groups:
-            df = rsi_columns(df, w, flat=rsi_flat)
-        if "macd" in groups or "macd_hist" in groups:
-            df = macd_columns(df, w)
-        return df
+            first.update(rsi_moves(w))
+            second.update(rsi_averages(w))
+            third["RSI_14"] = rsi_value(rsi_flat)
+        if macd:
+            second["MACD_Line"] = macd_line(w)
+            third["MACD_Signal"] = R.ema("MACD_Line", 9, w)
+        df = df.withColumns(first).withColumns(second).withColumns(third)
+        return df.withColumn("MACD_Histogram", F.col("MACD_Line") - F.col("MACD_Signal")) if macd else df
 
     out = windowed(joined, build, before=before, after=1, size=size, keep=("_block", "_rn"))
     if "OBV" in wanted or "OBV_ROC_5" in wanted:

@@ -35,27 +35,41 @@ def ema(bars: DataFrame, spans: Sequence[int], column: str = "close") -> DataFra
     )
 
 
-def rsi_columns(df: DataFrame, w: WindowSpec, span: int = 14, flat: float | None = 100.0, out: str = "RSI_14") -> DataFrame:
-    """RSI with exponential smoothing; ``flat`` is the value where prices neither rose nor fell so far."""
+# RSI and MACD are split into layers: everything in one layer shares one pass over the sorted block.
+
+
+def rsi_moves(w: WindowSpec) -> dict[str, Column]:
+    """Layer 1: rise and fall of the close, 0 on the first row."""
     delta = F.col("close") - F.lag("close", 1).over(w)
-    df = df.withColumns(
-        {
-            "_gain": F.when(delta > 0, delta).otherwise(0.0),
-            "_loss": F.when(delta < 0, -delta).otherwise(0.0),
-        }
-    )
-    df = df.withColumns({"_g": R.ema("_gain", span, w), "_l": R.ema("_loss", span, w)})
-    strength = ratio("_g", "_l")
-    value = (
+    return {"_gain": F.when(delta > 0, delta).otherwise(0.0), "_loss": F.when(delta < 0, -delta).otherwise(0.0)}
+
+
+def rsi_averages(w: WindowSpec, span: int = 14) -> dict[str, Column]:
+    """Layer 2, over layer 1."""
+    return {"_g": R.ema("_gain", span, w), "_l": R.ema("_loss", span, w)}
+
+
+def rsi_value(flat: float | None = 100.0) -> Column:
+    """RSI from layer 2; ``flat`` is the value where prices neither rose nor fell so far."""
+    return (
         F.when((F.col("_l") == 0) & (F.col("_g") == 0), F.lit(flat).cast("double"))
         .when(F.col("_l") == 0, F.lit(100.0))
-        .otherwise(100 - 100 / (1 + strength))
+        .otherwise(100 - 100 / (1 + ratio("_g", "_l")))
     )
-    return df.withColumn(out, value).drop("_gain", "_loss", "_g", "_l")
+
+
+def macd_line(w: WindowSpec, fast: int = 12, slow: int = 26) -> Column:
+    """Layer 2; the signal is layer 3, an average of the line."""
+    return R.ema("close", fast, w) - R.ema("close", slow, w)
+
+
+def rsi_columns(df: DataFrame, w: WindowSpec, span: int = 14, out: str = "RSI_14") -> DataFrame:
+    df = df.withColumns(rsi_moves(w)).withColumns(rsi_averages(w, span))
+    return df.withColumn(out, rsi_value()).drop("_gain", "_loss", "_g", "_l")
 
 
 def macd_columns(df: DataFrame, w: WindowSpec, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = df.withColumn("MACD_Line", R.ema("close", fast, w) - R.ema("close", slow, w))
+    df = df.withColumn("MACD_Line", macd_line(w, fast, slow))
     df = df.withColumn("MACD_Signal", R.ema("MACD_Line", signal, w))
     return df.withColumn("MACD_Histogram", F.col("MACD_Line") - F.col("MACD_Signal"))
 

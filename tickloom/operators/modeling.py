@@ -28,6 +28,7 @@ from tickloom.operators.sequences import (
     split_fraction,
 )
 from tickloom.schemas import FEATURES, TARGET
+from tickloom.session import written
 
 SEED = 42
 MAX_DEPTH = 30  # what MLlib trees allow
@@ -55,10 +56,12 @@ def samples(
     clean = scrub(table, [*features, target])
     base = clean if fit_on == "all" else split_fraction(clean, fraction).filter("role = 'train'").drop("role")
     scaler = minmax_fit(base, [*features, target])
-    seq = sequences(minmax_apply(clean, scaler, [*features, target]), features, target, length)
-    kept = seq.join(enough_samples(seq).select("symbol"), "symbol", "left_semi")
-    split = split_fraction(flat(kept), fraction)
-    return split.select("symbol", "date", array_to_vector("sequence").alias("vector"), F.col("y").alias("label"), "role"), scaler
+    seq = flat(sequences(minmax_apply(clean, scaler, [*features, target]), features, target, length))
+    counts = enough_samples(seq)
+    role = F.when(F.col("sample") < F.floor(F.col("samples") * F.lit(fraction)), "train").otherwise("test")
+    return seq.join(counts, "symbol").select(
+        "symbol", "date", array_to_vector("sequence").alias("vector"), F.col("y").alias("label"), role.alias("role")
+    ), scaler
 
 
 def errors(predicted: DataFrame, scaler: DataFrame, target: str = TARGET) -> DataFrame:
@@ -79,6 +82,7 @@ def train(
     """Fit on the first 80 % of the samples; (model, scaler, metrics per symbol on the rest)."""
     length = int(params.get("sequence_length", 24))
     data, scaler = samples(table if only is None else table.filter(F.col("symbol") == only), length, features, target, fit_on)
+    data = written(data, "samples")  # every tree level reads it
     model = estimator(model_type, params).fit(data.filter("role = 'train'"))
     return model, scaler, errors(model.transform(data.filter("role = 'test'")), scaler, target)
 
@@ -123,7 +127,7 @@ def cv_search(
     vectors = table.select(
         "symbol", "date", array_to_vector(F.array(*features)).alias("vector"), F.col(target).alias("label")
     )
-    folds = expanding_folds(vectors, splits)
+    folds = written(expanding_folds(vectors, splits), "folds")
     mae = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mae")
     scores = []
     for trial_id, trial in enumerate(trials, 1):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import ratio
-from tickloom.session import ensure_checkpoint_dir
+from tickloom.session import ensure_checkpoint_dir, written
 
 PARTS = 64
 
@@ -25,7 +25,8 @@ def cumulative(
     """One row per distinct value of each group, with each measure's sum (``m``), the sum up to and including the
     value (``m_upto``) and over the group (``m_total``), and the next larger value (``next_value``).
     """
-    distinct = df.groupBy(*keys, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()])
+    # The input is read once: everything below works on the table of distinct values.
+    distinct = written(df.groupBy(*keys, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()]), "values")
 
     # The cuts are approximate and could come out differently when a lost task runs again, and
     # rows and part totals must agree on them: the tiny table is fixed by a reliable checkpoint.

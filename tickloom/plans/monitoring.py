@@ -46,7 +46,7 @@ def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ordered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    long = D.drift_input(*sides(spark, sf))
+    long = D.long_sides(*sides(spark, sf))
     return long, D.ordered_sides(long)
 
 

@@ -8,19 +8,15 @@ from tickloom.operators import features as FT
 from tickloom.operators import modeling as M
 from tickloom.operators.sequences import cv_rank
 from tickloom.plans.registry import query
-from tickloom.schemas import FEATURE_TABLE
-from tickloom.session import scratch_path
+from tickloom.session import written
 from tickloom.sources import views
-from tickloom.sources.files import read_table, write_table
 
 COLUMNS = FT.columns_of(FT.EDA)
 
 
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature table as training reads it: written once, since every fit goes over it several times."""
-    path = scratch_path(spark, "features")
-    write_table(FT.features(views.bars(spark, sf), groups=FT.EDA), path)
-    return read_table(spark, path, FEATURE_TABLE)
+    """The feature table as training reads it: written once, since training goes over it several times."""
+    return written(FT.features(views.bars(spark, sf), groups=FT.EDA), "features")
 
 
 @query("train_gbt")

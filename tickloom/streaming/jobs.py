@@ -79,7 +79,7 @@ def daily_bars(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def upsert_history(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("symbol", "date")) -> StreamingQuery:
-    """Append each batch of bars as a version, the last row per key of a batch kept."""
+    """Append each batch of bars as a version, one row per key; the newest batch wins on read."""
     write = versioned_sink(path)
 
     def sink(df: DataFrame, batch_id: int) -> None:
