@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import log_ratio
-from tickloom.operators.series import windowed
+from tickloom.operators.series import attach, windowed
 from tickloom.schemas import MACRO_SERIES, OHLCV
 
 LOOKBACK_DAYS = 200
@@ -53,7 +53,7 @@ def bars_since(bars: DataFrame, pointer: DataFrame, as_of: dt.date) -> DataFrame
     """New bars per symbol; a symbol without a pointer is loaded in full."""
     starts = next_start(pointer, as_of).select("symbol", "start_date")
     return (
-        bars.join(starts, "symbol", "left")
+        attach(bars, starts, how="left")
         .filter(F.col("start_date").isNull() | (F.col("date") >= F.col("start_date")))
         .drop("start_date")
     )
@@ -101,7 +101,8 @@ def macro_returns(macro: DataFrame) -> DataFrame:
 def join_macro(bars: DataFrame, returns: DataFrame) -> DataFrame:
     """Left join on the date, no match gives 0.
 
-    ``returns`` has one row per calendar date, a few MB for any history, so it is broadcast.
+    ``returns`` has one row per calendar date (``macro_wide`` groups by it), so its size is bounded by the
+    calendar whatever the data: a century is about a megabyte.  That is why it may be broadcast.
     """
     names = list(MACRO_SERIES.values())
     return bars.join(F.broadcast(returns), "date", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in names})

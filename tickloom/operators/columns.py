@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import finite
+from tickloom.operators.series import attach
 
 
 def rename_existing(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -28,13 +29,16 @@ def align_zero(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("sy
     return df.select(*keep, *[F.col(c) if c in df.columns else F.lit(0.0).alias(c) for c in columns])
 
 
-def align_reference_mean(current: DataFrame, reference: DataFrame, columns: Sequence[str], key: str = "symbol") -> DataFrame:
+def align_reference_mean(
+    current: DataFrame, reference: DataFrame, columns: Sequence[str], key: str = "symbol"
+) -> DataFrame:
     """Add each column that only ``reference`` has, filled with its mean there per key."""
     missing = [c for c in columns if c not in current.columns]
     if not missing:
         return current
+    spread = [c for c in current.columns if c != key]
     means = reference.groupBy(key).agg(*[F.avg(c).alias(c) for c in missing])
-    return current.join(means, key, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in missing})
+    return attach(current, means, key, spread, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in missing})
 
 
 def scrub(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,7 +65,7 @@ def keep_complete(df: DataFrame, columns: Sequence[str], target: str, training:
     marked = df.withColumn("_ok", complete(columns))
     any_ok = marked.groupBy(key).agg(F.max("_ok").alias("_any"))
     filled = {c: F.when(F.col("_any"), F.col(c)).otherwise(F.coalesce(c, F.lit(0.0))) for c in [*columns, target]}
-    return marked.join(any_ok, key).filter(F.col("_ok") | ~F.col("_any")).withColumns(filled).drop("_ok", "_any")
+    return attach(marked, any_ok, key).filter(F.col("_ok") | ~F.col("_any")).withColumns(filled).drop("_ok", "_any")
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

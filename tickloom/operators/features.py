@@ -142,8 +142,7 @@ def eda_features(bars: DataFrame) -> DataFrame:
 def training_set(bars: DataFrame, macro_long: DataFrame, sentiment: DataFrame | None = None) -> DataFrame:
     """Training features with the macro series cut to the range of the bars (plus the padding).
 
-    The range is one row from an aggregate, joined as a scalar and not fetched to the driver.
+    The range is a pair of scalar subqueries, not fetched to the driver.
     """
-    span = bars.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-    inside = macro_range(macro_long.join(F.broadcast(span)), F.col("_lo"), F.col("_hi")).drop("_lo", "_hi")
+    inside = macro_range(macro_long, bars.agg(F.min("date")).scalar(), bars.agg(F.max("date")).scalar())
     return features(bars, macro_returns(inside), sentiment, training=True)

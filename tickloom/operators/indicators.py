@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
 from tickloom.functions.scalar import ratio
-from tickloom.operators.series import BLOCK_ROWS, forward_fill, running_max, running_sum, windowed
+from tickloom.operators.series import BLOCK_ROWS, attach, forward_fill, running_max, running_sum, windowed
 
 TRADING_DAYS = 252
 
@@ -127,7 +127,7 @@ def realized_vol(bars: DataFrame, n: int = 30, periods: int = TRADING_DAYS) -> D
 def base_100(bars: DataFrame) -> DataFrame:
     """Close relative to the first close of the symbol, times 100.  The first close comes from an aggregate, not a window."""
     first = bars.filter("close IS NOT NULL").groupBy("symbol").agg(F.min_by("close", "date").alias("_first"))
-    return bars.join(first, "symbol", "left").withColumn("base_100", ratio("close", "_first") * 100).drop("_first")
+    return attach(bars, first, how="left").withColumn("base_100", ratio("close", "_first") * 100).drop("_first")
 
 
 def ffill(bars: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -27,6 +27,7 @@ from tickloom.operators.sequences import (
     sequences,
     split_fraction,
 )
+from tickloom.operators.series import attach
 from tickloom.schemas import FEATURES, TARGET
 from tickloom.session import written
 
@@ -59,7 +60,7 @@ def samples(
     seq = flat(sequences(minmax_apply(clean, scaler, [*features, target]), features, target, length))
     counts = enough_samples(seq)
     role = F.when(F.col("sample") < F.floor(F.col("samples") * F.lit(fraction)), "train").otherwise("test")
-    return seq.join(counts, "symbol").select(
+    return attach(seq, counts).select(
         "symbol", "date", array_to_vector("sequence").alias("vector"), F.col("y").alias("label"), role.alias("role")
     ), scaler
 

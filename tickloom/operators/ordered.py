@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import ratio
+from tickloom.operators.series import attach
 from tickloom.session import ensure_checkpoint_dir, written
 
-PARTS = 64
+ROWS_PER_PART = 2_000_000
+MIN_PARTS, MAX_PARTS = 4, 1024
 
 
 def cumulative(
-    df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str, Column], parts: int = PARTS
+    df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str, Column], parts: int | None = None
 ) -> DataFrame:
     """One row per distinct value of each group, with each measure's sum (``m``), the sum up to and including the
     value (``m_upto``) and over the group (``m_total``), and the next larger value (``next_value``).
@@ -31,10 +33,13 @@ def cumulative(
     # The cuts are approximate and could come out differently when a lost task runs again, and
     # rows and part totals must agree on them: the tiny table is fixed by a reliable checkpoint.
     ensure_checkpoint_dir(df.sparkSession)
+    if parts is None:  # the row count comes from the footers of the table just written
+        parts = max(MIN_PARTS, min(MAX_PARTS, -(-distinct.count() // ROWS_PER_PART)))
+    parts = max(2, parts)
     probabilities = [i / parts for i in range(1, parts)]
     cuts = distinct.groupBy(*keys).agg(F.percentile_approx(value, probabilities, 10 * parts).alias("_cuts")).checkpoint()
     part = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    placed = distinct.join(cuts, list(keys)).withColumn("_part", part).drop("_cuts")
+    placed = attach(distinct, cuts, keys, value).withColumn("_part", part).drop("_cuts").repartition(*keys, "_part")
 
     inside = Window.partitionBy(*keys, "_part").orderBy(value)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -85,7 +90,7 @@ def quantile_of(c: DataFrame, keys: Sequence[str], value: str, measure: str, pro
     return found.select(*keys, *[blend(n, p) for n, p in probabilities.items()])
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], parts: int = PARTS) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], parts: int | None = None) -> DataFrame:
     """Exact interpolated quantiles per group."""
     known = df.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
     c = cumulative(known, keys, value, {"_rows": F.lit(1)}, parts)

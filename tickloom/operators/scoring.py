@@ -73,10 +73,11 @@ def predict_batch(
     applied = scaler is not None and scaler_matches(scaler, [*features, TARGET])
     if applied:
         aligned = minmax_apply(aligned, scaler, features)
-    scored = scorer(scoring_window(aligned, features, length)).drop("date")
+    # From here on there is one row per symbol.
+    scored = scorer(scoring_window(aligned, features, length))
     if applied:
         scored = minmax_inverse(scored, scaler, "prediction", TARGET, "predicted_return")
     else:
         scored = scored.withColumn("predicted_return", F.col("prediction"))
-    quoted = scored.join(last_quote(history), "symbol")
+    quoted = scored.drop("date").join(last_quote(history), "symbol")
     return prediction_output(forecast(quoted)).withColumn("scaler_applied", F.lit(applied))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalar import ratio
 from tickloom.operators.ordered import cumulative
 from tickloom.operators.selection import tail
-from tickloom.operators.series import number_rows, windowed
+from tickloom.operators.series import attach, number_rows, windowed
 
 MIN_SAMPLES = 50
 
@@ -29,14 +29,14 @@ def minmax_apply(df: DataFrame, stats: DataFrame, columns: Sequence[str], key: s
     """Scale to [0, 1]; a constant column becomes 0."""
     scaled = {c: (F.col(c) - F.col(f"{c}_min")) / _width(c) for c in columns}
     needed = stats.select(key, *[f"{c}_{s}" for c in columns for s in ("min", "max")])
-    return df.join(needed, key).withColumns(scaled).drop(*[c for c in needed.columns if c != key])
+    return attach(df, needed, key).withColumns(scaled).drop(*[c for c in needed.columns if c != key])
 
 
 def minmax_inverse(df: DataFrame, stats: DataFrame, scaled: str, column: str, out: str, key: str = "symbol") -> DataFrame:
     """Undo the scaling of ``column`` for the values in ``scaled``."""
     needed = stats.select(key, f"{column}_min", f"{column}_max")
     return (
-        df.join(needed, key)
+        attach(df, needed, key)
         .withColumn(out, F.col(scaled) * _width(column) + F.col(f"{column}_min"))
         .drop(f"{column}_min", f"{column}_max")
     )
@@ -84,7 +84,7 @@ def scoring_window(df: DataFrame, features: Sequence[str], length: int) -> DataF
 
 def _positions(df: DataFrame, key: str, order: str) -> DataFrame:
     rows = number_rows(df, key, order, out="_at")
-    return rows.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
+    return attach(rows, df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, order)
 
 
 def split_fraction(df: DataFrame, fraction: float = 0.8, key: str = "symbol", order: str = "date") -> DataFrame:

@@ -14,10 +14,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = 2048
-CHUNK_DAYS = 2048
+CHUNK_DAYS = 2048  # days per numbering chunk of a daily series; a series ordered by timestamps is chunked by day
 PREFIX_FAN = 1024
+SALTS = 32
 
 Keys = str | Sequence[str]
 
@@ -27,7 +29,7 @@ def _keys(key: Keys) -> list[str]:
 
 
 def number_rows(
-    df: DataFrame, key: Keys = "symbol", order: str = "date", out: str = "_rn", chunk_days: int = CHUNK_DAYS
+    df: DataFrame, key: Keys = "symbol", order: str = "date", out: str = "_rn", chunk_days: int | None = None
 ) -> DataFrame:
     """Add the 0-based position of each row in its series, ordered by a date or timestamp unique per key.
 
@@ -35,7 +37,8 @@ def number_rows(
     chunk, whose number is bounded by the calendar and not by the row count.
     """
     keys = _keys(key)
-    chunked = df.withColumn("_chunk", F.floor(F.unix_date(F.to_date(order)) / chunk_days))
+    days = chunk_days or (CHUNK_DAYS if isinstance(df.schema[order].dataType, T.DateType) else 1)
+    chunked = df.withColumn("_chunk", F.floor(F.unix_date(F.to_date(order)) / days))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         chunked.groupBy(*keys, "_chunk")
@@ -43,14 +46,32 @@ def number_rows(
         .select(*keys, "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    # The explicit repartition matters: input that is already partitioned by the key alone would
+    # satisfy the window as it is and leave a hot key in one task.
     return (
-        chunked.withColumn("_local", F.row_number().over(inside))
+        chunked.repartition(*keys, "_chunk")
+        .withColumn("_local", F.row_number().over(inside))
         .join(starts, [*keys, "_chunk"])
         .withColumn(out, F.col("_start") + F.col("_local") - 1)
         .drop("_chunk", "_local", "_start")
     )
 
 
+def attach(
+    df: DataFrame, stats: DataFrame, key: Keys = "symbol", spread: Keys = "date", how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Join a table with one row per key to the rows of a series.
+
+    A plain join on the key alone would bring all rows of a hot key to one task.  Here the rows of a key
+    are spread over ``salts`` tasks by a hash of ``spread`` and the small side is repeated for each; if it
+    proves small enough at run time, Spark broadcasts it and shuffles nothing.
+    """
+    keys = _keys(key)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*_keys(spread)), F.lit(salts)))
+    repeated = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def windowed(
     df: DataFrame,
     build: Callable[[DataFrame, WindowSpec], DataFrame],
@@ -81,6 +102,7 @@ def windowed(
         rows.withColumn("_block", F.explode(F.array_compact(F.array(*targets))))
         .withColumn("_own", F.col("_block") == home)
         .withColumn("_pos", F.col("_rn") - F.greatest(F.col("_block") * size - before, F.lit(0)))
+        .repartition(*keys, "_block")
     )
     w = Window.partitionBy(*keys, "_block").orderBy("_rn")
     helpers = {"_block", "_own", "_pos", "_rn"} - set(keep)

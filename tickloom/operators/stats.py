@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import rolling as R
 from tickloom.functions.scalar import ratio
 from tickloom.operators.ordered import quantiles
-from tickloom.operators.series import BLOCK_ROWS, number_rows, windowed
+from tickloom.operators.series import BLOCK_ROWS, attach, number_rows, windowed
 from tickloom.schemas import OHLCV
 
 TRADING_DAYS = 252
@@ -76,17 +76,16 @@ def clip_quantile(bars: DataFrame, c: str = "volume", p: float = 0.99) -> DataFr
     """``<c>_clipped``: the value limited to [0, exact quantile of its symbol]."""
     top = quantiles(bars, ["symbol"], c, {"_top": p})
     return (
-        bars.join(top, "symbol").withColumn(f"{c}_clipped", F.least(F.greatest(F.col(c), F.lit(0)).cast("double"), "_top")).drop("_top")
+        attach(bars, top).withColumn(f"{c}_clipped", F.least(F.greatest(F.col(c), F.lit(0)).cast("double"), "_top")).drop("_top")
     )
 
 
-def histogram(df: DataFrame, c: str, bins: int, key: str = "symbol") -> DataFrame:
+def histogram(df: DataFrame, c: str, bins: int, key: str = "symbol", spread: str = "date") -> DataFrame:
     """Counts per equal-width bin between the minimum and maximum of each key; the last bin is closed."""
     span = df.groupBy(key).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
     place = F.coalesce(F.floor(ratio(F.col(c) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(0))
     return (
-        df.filter(F.col(c).isNotNull())
-        .join(span, key)
+        attach(df.filter(F.col(c).isNotNull()), span, key, spread)
         .groupBy(key, F.least(place, F.lit(bins - 1)).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -152,7 +151,7 @@ def acf(returns: DataFrame, c: str = "log_return", nlags: int = 40) -> DataFrame
     spread over tasks and only nlags + 1 sums per symbol move.
     """
     mean = returns.groupBy("symbol").agg(F.avg(c).alias("_mean"), F.count(c).alias("_n"))
-    centred = returns.join(mean, "symbol").select("symbol", "date", (F.col(c) - F.col("_mean")).alias("_d"), "_n")
+    centred = attach(returns, mean).select("symbol", "date", (F.col(c) - F.col("_mean")).alias("_d"), "_n")
 
     names = [f"_p{k}" for k in range(nlags + 1)]
 
@@ -221,6 +220,6 @@ def seasonal_decompose(
     overall = F.avg("_mean").over(Window.partitionBy("symbol"))
     factor = ratio("_mean", overall) if multiplicative else F.col("_mean") - overall
     seasonal = phases.select("symbol", "_phase", factor.alias("seasonal"))
-    out = trend.join(seasonal, ["symbol", "_phase"])
+    out = attach(trend, seasonal, ["symbol", "_phase"])
     residual = ratio(c, F.col("seasonal") * F.col("trend")) if multiplicative else F.col(c) - F.col("seasonal") - F.col("trend")
     return out.select("symbol", "date", c, "trend", "seasonal", residual.alias("resid"))
