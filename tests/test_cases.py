@@ -292,3 +292,57 @@ def test_trials_are_repeatable(spark):
 def test_champion_takes_the_least_error(spark):
     t = spark.createDataFrame([("A", 2, 0.1), ("A", 1, 0.1), ("A", 3, 0.5), ("A", 4, None)], "symbol string, trial_id bigint, rmse double")
     assert rows(L.champion(t)) == [("A", 1, 0.1)]
+
+
+def test_transformer_in_a_pipeline(spark):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from tickloom.operators.features import features
+    from tickloom.operators.transformer import FeatureTable
+
+    data = [("A", D1 + dt.timedelta(days=i), 1.0, 3.0, 0.5, 2.0 + (i * 7) % 5, 10 + i) for i in range(70)]
+    bars = spark.createDataFrame(data, schemas.BARS)
+    bars.select("date", F.lit(0.5).alias("SP500_Return"), F.lit(0.0).alias("VIX_Return"), F.lit(0.0).alias("EURUSD_Return")).createOrReplaceTempView("macro_view")
+    model = Pipeline(stages=[FeatureTable(training=False, macroTable="macro_view")]).fit(bars)
+    path = scratch_path(spark, "model")
+    model.save(path)
+    out = PipelineModel.load(path).transform(bars)
+    assert out.count() == features(bars, training=False).count() == 21
+    assert out.first().SP500_Return == 0.5
+
+
+def test_training_trials_publish_and_score(spark):
+    from tickloom.operators import modeling as M
+    from tickloom.operators.features import features
+
+    rng = np.random.default_rng(2)
+    data = []
+    for s in ("A", "B"):
+        price = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 200)))
+        data += [(s, D1 + dt.timedelta(days=i), float(p), float(p * 1.01), float(p * 0.99), float(p), int(100 + i % 9)) for i, p in enumerate(price)]
+    bars = spark.createDataFrame(data, schemas.BARS)
+    table = features(bars)
+    trials = [
+        {"model_type": "gbt", "n_estimators": "2", "max_depth": "2", "learning_rate": "0.1", "sequence_length": "3"},
+        {"model_type": "random_forest", "n_estimators": "3", "max_depth": "2", "sequence_length": "3"},
+    ]
+    results, models = M.run_trials(table, trials)
+    assert results.count() == 4 and results.filter("rmse >= mae AND mae > 0").count() == 4
+    scaler = Q.minmax_fit(table, [*schemas.FEATURES, schemas.TARGET])
+    best = M.publish(results, models, scaler, scratch_path(spark, "champion"))
+    assert best.count() == 2
+    out = SC.predict_batch(bars, None, None, M.mllib_scorer(models[1]), 3, scaler).collect()
+    assert len(out) == 2 and all(r.scaler_applied and abs(r.variation_pct) < 10 for r in out)
+
+
+def test_stream_upsert_survives_a_repeated_batch(spark):
+    from tickloom.streaming import jobs
+
+    path = scratch_path(spark, "versions")
+    write = jobs.versioned_sink(path)
+    old = spark.createDataFrame([("A", D1, 1.0, 1.0, 1.0, 1.0, 1)], schemas.BARS)
+    new = spark.createDataFrame([("A", D1, 2.0, 2.0, 2.0, 2.0, 2), ("A", D2, 3.0, 3.0, 3.0, 3.0, 3)], schemas.BARS)
+    for df, batch in ((old, 0), (new, 1), (new, 1)):
+        write(df, batch)
+    out = jobs.read_versions(spark, path, schemas.BARS, ["symbol", "date"])
+    assert rows(out.select("date", "close"), "date") == [(D1, 2.0), (D2, 3.0)]

@@ -85,7 +85,7 @@ def macro_wide(macro: DataFrame) -> DataFrame:
 
 def macro_returns(macro: DataFrame) -> DataFrame:
     """Log returns per series over the joint calendar; a gap gives 0 on its day and on the next one."""
-    wide = macro_wide(macro).withColumn("symbol", F.lit("macro"))
+    wide = macro_wide(macro)  # one series, so the key is empty
 
     def build(df, w):
         return df.withColumns(
@@ -95,7 +95,7 @@ def macro_returns(macro: DataFrame) -> DataFrame:
             }
         )
 
-    return windowed(wide, build, before=1).select("date", *MACRO_SERIES.values())
+    return windowed(wide, build, before=1, key=()).select("date", *MACRO_SERIES.values())
 
 
 def join_macro(bars: DataFrame, returns: DataFrame) -> DataFrame:

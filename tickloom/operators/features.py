@@ -54,7 +54,7 @@ def raw_features(
     depends on the whole past, adds the total of earlier blocks from a pass over close and volume.
     """
     wanted = columns_of(groups)
-    rows = joined = number_rows(bars)
+    joined = bars
     if "macro" in groups:
         zero = {c: F.lit(0.0) for c in GROUPS["macro"]}
         joined = join_macro(joined, macro_returns) if macro_returns is not None else joined.withColumns(zero)
@@ -62,6 +62,7 @@ def raw_features(
         no_news = {"Sentiment_Score": F.lit(0.0)}
         joined = join_sentiment(joined, sentiment) if sentiment is not None else joined.withColumns(no_news)
 
+    joined = number_rows(joined, counted=bars)  # both joins keep the rows of the bars
     before, spans = 50, []
     if "rsi" in groups:
         before, spans = R.ema_reach(14) + 1, [14]
@@ -108,14 +109,14 @@ def raw_features(
 
     out = windowed(joined, build, before=before, after=1, size=size, keep=("_block", "_rn"))
     if "OBV" in wanted or "OBV_ROC_5" in wanted:
-        out = out.join(_obv_carry(rows, size), ["symbol", "_block"])
+        out = out.join(_obv_carry(bars, size), ["symbol", "_block"])
         out = out.withColumn("OBV", F.col("_obv") + F.coalesce("_carry", F.lit(0)))
         out = out.withColumn("OBV_ROC_5", F.when(F.col("_rn") >= 5, ratio("OBV", F.col("OBV") - F.col("_signed5")) - 1))
     return out.select("symbol", "date", *wanted, TARGET)
 
 
-def _obv_carry(rows: DataFrame, size: int) -> DataFrame:
-    narrow = rows.select("symbol", "date", "close", "volume", "_rn")
+def _obv_carry(bars: DataFrame, size: int) -> DataFrame:
+    narrow = bars.select("symbol", "date", "close", "volume")
     signed = windowed(narrow, lambda d, w: d.withColumn("_s", R.signed_volume(w)), before=1, size=size, keep=("_block",))
     totals = signed.groupBy("symbol", "_block").agg(F.sum("_s").alias("_carry"))
     return exclusive_prefix(totals, {"_carry": F.sum})

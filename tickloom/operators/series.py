@@ -29,19 +29,30 @@ def _keys(key: Keys) -> list[str]:
 
 
 def number_rows(
-    df: DataFrame, key: Keys = "symbol", order: str = "date", out: str = "_rn", chunk_days: int | None = None
+    df: DataFrame,
+    key: Keys = "symbol",
+    order: str = "date",
+    out: str = "_rn",
+    chunk_days: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its series, ordered by a date or timestamp unique per key.
 
     Sorting happens per (key, calendar chunk); the running total runs over one row per
-    chunk, whose number is bounded by the calendar and not by the row count.
+    chunk, whose number is bounded by the calendar and not by the row count.  ``counted`` may name a
+    cheaper table with the same keys and order values to count, such as the input of a join that keeps its rows.
     """
     keys = _keys(key)
     days = chunk_days or (CHUNK_DAYS if isinstance(df.schema[order].dataType, T.DateType) else 1)
-    chunked = df.withColumn("_chunk", F.floor(F.unix_date(F.to_date(order)) / days))
+
+    def with_chunk(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_chunk", F.floor(F.unix_date(F.to_date(order)) / days))
+
+    chunked = with_chunk(df)
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        chunked.groupBy(*keys, "_chunk")
+        (chunked if counted is None else with_chunk(counted))
+        .groupBy(*keys, "_chunk")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(*keys, "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
@@ -99,7 +110,8 @@ def windowed(
     if after:
         targets.append(F.when((offset < after) & (home > 0), home - 1))
     blocks = (
-        rows.withColumn("_block", F.explode(F.array_compact(F.array(*targets))))
+        rows.withColumn("_block", F.explode(F.array(*targets)))
+        .filter(F.col("_block").isNotNull())
         .withColumn("_own", F.col("_block") == home)
         .withColumn("_pos", F.col("_rn") - F.greatest(F.col("_block") * size - before, F.lit(0)))
         .repartition(*keys, "_block")
@@ -123,12 +135,18 @@ def exclusive_prefix(
     never one sort.  "Latest" values use ``F.max`` of a struct that starts with the position.
     """
     keys = _keys(key)
+    # Both levels read the same shuffle of the totals: the upper one orders by the last part of a
+    # group, so that it needs the same columns, and the filter is the one that the join below would
+    # add on one side only; with both, Spark reuses the exchange and runs what is under it once.
     groups = totals.withColumn("_group", F.floor(F.col(part) / fan))
+    for c in [*keys, "_group"]:
+        groups = groups.filter(F.col(c).isNotNull())
+    groups = groups.repartition(*keys, "_group")
     inside = Window.partitionBy(*keys, "_group").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("_last").rowsBetween(Window.unboundedPreceding, -1)
     upper = (
         groups.groupBy(*keys, "_group")
-        .agg(*[f(F.col(c)).alias(c) for c, f in columns.items()])
+        .agg(F.max(part).alias("_last"), *[f(F.col(c)).alias(c) for c, f in columns.items()])
         .select(*keys, "_group", *[f(F.col(c)).over(across).alias(f"_up_{c}") for c, f in columns.items()])
     )
 
