@@ -217,6 +217,7 @@ def test_files(spark):
 def test_ticker_rules(spark):
     ok = spark.createDataFrame([(s,) for s in schemas.SYMBOLS], "symbol string")
     asked = spark.createDataFrame([(" aapl ",), ("FALSO123",)], "raw string").select(X.ticker("raw").alias("symbol"))
+    assert C.allowed(asked.withColumn("n", F.lit(1)), ok).count() == 1
     assert rows(C.allowed(asked, ok)) == [("AAPL",)]
     assert rows(C.rejected(asked, ok)) == [("FALSO123",)]
     assert L.without_index(ok).count() == len(schemas.SYMBOLS) - 1

@@ -76,8 +76,8 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def allowed(df: DataFrame, symbols: DataFrame) -> DataFrame:
     """Rows whose normalised ticker is in the allow-list."""
-    return df.join(symbols.select("symbol"), "symbol", "left_semi")
+    return attach(df, symbols.select("symbol"), spread=[c for c in df.columns if c != "symbol"], how="left_semi")
 
 
 def rejected(df: DataFrame, symbols: DataFrame) -> DataFrame:
-    return df.join(symbols.select("symbol"), "symbol", "left_anti")
+    return attach(df, symbols.select("symbol"), spread=[c for c in df.columns if c != "symbol"], how="left_anti")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalar import ratio
 from tickloom.operators.columns import align_reference_mean
 from tickloom.operators.ordered import cumulative, quantile_of, share_upto
+from tickloom.operators.series import attach
 from tickloom.schemas import TARGET
+from tickloom.session import written
 
 KEYS = ["symbol", "feature"]
 MIN_ROWS = 5
@@ -58,7 +60,7 @@ def drift_input(
 ) -> DataFrame:
     """``long_sides`` of the symbols that pass the gate."""
     symbols = gated(reference, current, min_rows).select("symbol")
-    return long_sides(reference, current, features, missing).join(symbols, "symbol", "left_semi")
+    return attach(long_sides(reference, current, features, missing), symbols, spread="value", how="left_semi")
 
 
 def ordered_sides(long: DataFrame) -> DataFrame:
@@ -105,14 +107,14 @@ def wasserstein(sides: DataFrame, long: DataFrame) -> DataFrame:
 
 def psi(sides: DataFrame) -> DataFrame:
     """Population stability index over the reference deciles: (symbol, feature, statistic, n_ref, n_cur)."""
-    known = sides.filter((F.col("ref_total") > 0) & (F.col("cur_total") > 0))
+    known = written(sides.filter((F.col("ref_total") > 0) & (F.col("cur_total") > 0)), "ordered")  # read twice
     deciles = quantile_of(known, KEYS, "value", "ref", DECILES)
     at = [
         F.coalesce(F.max(F.when(F.col("value") <= F.col(q), F.col(f"{m}_upto"))), F.lit(0)).alias(f"{m}_{q}")
         for m in ("ref", "cur")
         for q in DECILES
     ]
-    points = known.join(deciles, KEYS).groupBy(*KEYS).agg(F.max("ref_total").alias("n_ref"), F.max("cur_total").alias("n_cur"), *at)
+    points = attach(known, deciles, KEYS, "value").groupBy(*KEYS).agg(F.max("ref_total").alias("n_ref"), F.max("cur_total").alias("n_cur"), *at)
 
     def shares(m: str) -> list[Column]:
         edges = [F.lit(0), *[F.col(f"{m}_{q}") for q in DECILES], F.col(f"n_{m}")]
@@ -192,7 +194,7 @@ def report(
 ) -> DataFrame:
     """Per feature: count, mean, deviation and quantiles of both sides, with the test result."""
     long = long_sides(reference, current, features, missing)
-    sides = ordered_sides(long)
+    sides = written(ordered_sides(long), "ordered")  # read by the test and by the quantiles of both sides
     gate = gated(reference, current, min_rows).select("symbol")
     out = judge(long, sides, method, threshold).join(gate, "symbol", "left_semi")
 

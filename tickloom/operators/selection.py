@@ -32,4 +32,5 @@ def without_index(df: DataFrame) -> DataFrame:
 
 
 def symbols_without_data(requested: DataFrame, history: DataFrame) -> DataFrame:
-    return requested.select("symbol").distinct().join(history.select("symbol"), "symbol", "left_anti")
+    known = history.select("symbol").distinct()
+    return requested.select("symbol").distinct().join(known, "symbol", "left_anti")

@@ -78,7 +78,9 @@ def attach(
     proves small enough at run time, Spark broadcasts it and shuffles nothing.
     """
     keys = _keys(key)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*_keys(spread)), F.lit(salts)))
+    spreading = _keys(spread)
+    salt = F.pmod(F.xxhash64(*spreading), F.lit(salts)) if spreading else F.lit(0).cast("bigint")
+    salted = df.withColumn("_salt", salt)
     repeated = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
