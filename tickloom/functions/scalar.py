@@ -76,6 +76,16 @@ def epoch_local_date(seconds: Column | str, zone: str = "America/Sao_Paulo") ->
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc))
 
 
+def utc_instant(wall_clock: Column | str) -> Column:
+    """The instant whose UTC wall clock this is (a plain cast would read it in the session time zone)."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), col(wall_clock)).cast("timestamp")
+
+
+def utc_date(instant: Column | str) -> Column:
+    local = col(instant).cast(T.TimestampNTZType())
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), local))
+
+
 def polarity(scores: Column | str) -> Column:
     """Sum of positive scores minus sum of negative ones; other labels count 0, so does an absent list."""
 

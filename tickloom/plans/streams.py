@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalar import utc_instant
 from tickloom.plans import sql as S
 from tickloom.plans.monitoring import VERDICT, sides
 from tickloom.plans.registry import query, show
@@ -27,7 +28,7 @@ def stream_daily_bars(spark: SparkSession, sf: str) -> DataFrame:
     events = jobs.file_stream(spark, sf, schema, glob="events.parquet")
     ticks = events.select(
         F.col("event_type").alias("symbol"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        utc_instant("ts").alias("ts"),
         F.col("value").alias("price"),
         F.col("event_id").alias("tie"),
         (F.col("event_id") % 7 + 1).alias("quantity"),

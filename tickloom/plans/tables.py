@@ -338,9 +338,7 @@ def date_math(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT event_id, CAST(to_timestamp(epoch(ts)) AT TIME ZONE 'America/Sao_Paulo' AS DATE) AS local_date FROM events",
 )
 def epoch_to_local_date(spark: SparkSession, sf: str) -> DataFrame:
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    utc = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("ts"))  # the column is UTC wall clock, the cast reads session time
-    seconds = F.unix_seconds(utc.cast("timestamp"))
+    seconds = F.unix_seconds(X.utc_instant("ts"))
     return views.table(spark, sf, "events").select("event_id", X.epoch_local_date(seconds).alias("local_date"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tickloom.functions.scalar import utc_date
 from tickloom.operators.drift import drift, verdict
 from tickloom.operators.upsert import latest
 from tickloom.schemas import PREDICTION_LOG
@@ -62,7 +63,7 @@ def run(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
 
 
 def daily_bars(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Bars per symbol and day from (symbol, ts TIMESTAMP, price, tie, quantity); state older than the lateness is dropped."""
+    """Bars per symbol and UTC day from (symbol, ts TIMESTAMP, price, tie, quantity); state older than the lateness is dropped."""
     order = F.struct("ts", "tie")
     return (
         ticks.withWatermark("ts", lateness)
@@ -74,7 +75,7 @@ def daily_bars(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
             F.max_by("price", order).alias("close"),
             F.sum("quantity").alias("volume"),
         )
-        .select("symbol", F.to_date("_day.start").alias("date"), "open", "high", "low", "close", "volume")
+        .select("symbol", utc_date("_day.start").alias("date"), "open", "high", "low", "close", "volume")
     )
 
 
