@@ -347,3 +347,8 @@ def test_stream_upsert_survives_a_repeated_batch(spark):
         write(df, batch)
     out = jobs.read_versions(spark, path, schemas.BARS, ["symbol", "date"])
     assert rows(out.select("date", "close"), "date") == [(D1, 2.0), (D2, 3.0)]
+
+
+def test_absent_logs_read_as_empty(spark):
+    logs = LG.read_logs(spark, scratch_path(spark, "no-logs"))
+    assert logs.count() == 0 and "mtime" in logs.columns

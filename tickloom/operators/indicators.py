@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
@@ -161,7 +161,3 @@ def regime_flags(bars: DataFrame) -> DataFrame:
         )
 
     return windowed(bars, columns, before=before, size=R.ema_block(before, [9, 12, 14, 26], BLOCK_ROWS))
-
-
-def running_frame(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(Window.unboundedPreceding, 0)

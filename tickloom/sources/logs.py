@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,12 +48,10 @@ def write_logs(logs: DataFrame, path: str) -> None:
 def read_logs(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """All records below ``path`` with the modification time of their file."""
     df = read_table(spark, path, PREDICTION_LOG, "json", recursiveFileLookup="true", pathGlobFilter="*.json", **options)
-    if "_metadata" not in df.columns:
-        try:
-            return df.withColumn("mtime", F.col("_metadata.file_modification_time"))
-        except Exception:  # an absent path has no file metadata
-            return df.withColumn("mtime", F.lit(None).cast("timestamp"))
-    return df
+    try:
+        return df.withColumn("mtime", F.col("_metadata.file_modification_time"))
+    except AnalysisException:  # the empty table of an absent path has no files
+        return df.withColumn("mtime", F.lit(None).cast("timestamp"))
 
 
 def newest(logs: DataFrame, order: Sequence[Column | str], n: int = LOG_LIMIT) -> DataFrame:
