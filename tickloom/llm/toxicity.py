@@ -92,13 +92,14 @@ def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, per_class: int = 2500, max_chars: int = 20_000, folds: int = 5, held_out: int = 0,
-    least_z: float = 2.3, steps: int = 200, rate: float = 0.1, ridge: float = 1e-4,
+    least_z: float = 2.3, lean: float = 3.0, steps: int = 200, rate: float = 0.1, ridge: float = 1e-4,
 ) -> Model:
     """Learn word weights from labelled documents outside the fold ``held_out``.
 
     The sample is bounded: ``per_class`` toxic and twice as many clean documents, of at most ``max_chars`` characters
     each (longer ones are scored, but not learned from). A word is a feature if it is in three sampled documents and
-    the z-score of its log-odds for the toxic ones reaches ``least_z``; weights stay positive.
+    the z-score of its log-odds for the toxic ones reaches ``least_z``; weights stay positive. A toxic document counts
+    ``lean`` times.
     """
     sample = training_sample(docs, labels, per_class=per_class, max_chars=max_chars, folds=folds, held_out=held_out)
     rows = sample.mapInPandas(_bags, "doc_id long, toxic int, bags array<string>").toPandas()
@@ -125,7 +126,7 @@ def fit(
     for step in range(1, steps + 1):
         z = b + np.bincount(sentence, w[column], minlength=len(sentences))
         p_doc = np.clip(-np.expm1(-np.bincount(doc, np.logaddexp(0.0, z), minlength=len(y))), 1e-6, 1.0)
-        pull = np.where(y > 0, -(1.0 - p_doc) / p_doc, 1.0) / len(y)
+        pull = np.where(y > 0, -lean * (1.0 - p_doc) / p_doc, 1.0) / len(y)
         slope = pull[doc] / (1.0 + np.exp(-np.clip(z, -30, 30)))
         gw, gb = np.bincount(column, slope[sentence], minlength=len(w)) + ridge * w, slope.sum()
         slope_w, square_w = 0.9 * slope_w + 0.1 * gw, 0.999 * square_w + 0.001 * gw * gw
