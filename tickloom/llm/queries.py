@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from tickloom.llm import quality
+from tickloom.llm.quality import op2_quality
 from tickloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op4_toxicity": op4_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality": quality.ORACLE,
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm import quality as rules
 from tickloom.llm import toxicity as tox
 from tickloom.llm.common import with_columns_kept
 
@@ -13,3 +14,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are more likely clean than toxic."""
     model = tox.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return tox.with_score(with_columns_kept(docs), model).where(F.col("score") < 0.5).select("row.*")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return rules.kept_only(docs)
