@@ -16,6 +16,8 @@ from tickloom.session import written
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", stages.toxicity),
     ("quality", stages.quality),
+    ("secrets", stages.secrets),
+    ("packing", stages.packing),
 ]
 
 #: Models take part in three stages, which SQL cannot express; the tests compare with a plain version instead.

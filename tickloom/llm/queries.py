@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from tickloom.llm import quality
+from tickloom.llm.packing import op5_packing
 from tickloom.llm.quality import op2_quality
+from tickloom.llm.secrets import op8_secrets
 from tickloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op2_quality": op2_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
+    "op8_secrets": op8_secrets,
 }
 ORACLES: dict[str, str] = {
     "op2_quality": quality.ORACLE,

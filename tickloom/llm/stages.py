@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm import packing as windows
 from tickloom.llm import quality as rules
+from tickloom.llm import secrets as scan
 from tickloom.llm import toxicity as tox
 from tickloom.llm.common import with_columns_kept
+from tickloom.llm.tokens import byte_encoder
+from tickloom.session import written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,3 +23,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return rules.kept_only(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced in the text."""
+    network = scan.fit(docs)
+    return docs.withColumn("text", scan.redacted(network, F.col("text"))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their ids (little-endian 32-bit integers), window and offset."""
+    return windows.packed(written(windows.with_pieces(docs, byte_encoder(), keep_ids=True), "pieces"))
