@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tickloom.llm import quality
+from tickloom.llm.language import op10_language
 from tickloom.llm.packing import op5_packing
 from tickloom.llm.quality import op2_quality
 from tickloom.llm.secrets import op8_secrets
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op8_secrets": op8_secrets,
+    "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {
     "op2_quality": quality.ORACLE,
