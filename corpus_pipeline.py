@@ -16,6 +16,7 @@ from tickloom.session import written
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", stages.toxicity),
     ("quality", stages.quality),
+    ("near_duplicates", stages.near_duplicates),
     ("secrets", stages.secrets),
     ("packing", stages.packing),
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tickloom.llm import quality
 from tickloom.llm.language import op10_language
+from tickloom.llm.ngram_join import op3_ngram_join
 from tickloom.llm.packing import op5_packing
 from tickloom.llm.quality import op2_quality
 from tickloom.llm.secrets import op8_secrets
@@ -11,6 +12,7 @@ from tickloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op8_secrets": op8_secrets,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm import ngram_join as near
 from tickloom.llm import packing as windows
 from tickloom.llm import quality as rules
 from tickloom.llm import secrets as scan
@@ -25,6 +26,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.kept_only(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id; rows without an id stay.
+
+    Of rows that repeat an id one stays, the one whose text sorts first.
+    """
+    parts = near.components_of(docs)
+    stay = parts.where("doc_id is not null and component_id = doc_id").select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    found = rows.where("id is not null").join(stay.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    first = found.groupBy("id").agg(F.min_by("row", F.col("row.text")).alias("row"))
+    return first.select("row.*").union(docs.where("doc_id is null"))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced in the text."""
     network = scan.fit(docs)
