@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tickloom.llm import quality
+from tickloom.llm.binary import op7_binary
 from tickloom.llm.language import op10_language
 from tickloom.llm.ngram_join import op3_ngram_join
 from tickloom.llm.packing import op5_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op7_binary": op7_binary,
     "op8_secrets": op8_secrets,
     "op10_language": op10_language,
 }
