@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tickloom.llm import quality
 from tickloom.llm.binary import op7_binary
+from tickloom.llm.fingerprint import op9_fingerprint
 from tickloom.llm.language import op10_language
 from tickloom.llm.ngram_join import op3_ngram_join
 from tickloom.llm.packing import op5_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op7_binary": op7_binary,
     "op8_secrets": op8_secrets,
+    "op9_fingerprint": op9_fingerprint,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {
