@@ -6,6 +6,7 @@ from tickloom.llm import quality
 from tickloom.llm.binary import op7_binary
 from tickloom.llm.fingerprint import op9_fingerprint
 from tickloom.llm.language import op10_language
+from tickloom.llm.lm import op6_lm
 from tickloom.llm.ngram_join import op3_ngram_join
 from tickloom.llm.packing import op5_packing
 from tickloom.llm.quality import op2_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op6_lm": op6_lm,
     "op7_binary": op7_binary,
     "op8_secrets": op8_secrets,
     "op9_fingerprint": op9_fingerprint,
