@@ -80,7 +80,7 @@ class _Ids(dict):
 
 @dataclass
 class Vocabulary:
-    """Common words with their counts, most frequent first, and the totals of the corpus."""
+    """Common words and the end of a text with their counts, most frequent first, and the totals of the corpus."""
 
     words: list[bytes]
     n: np.ndarray
@@ -93,9 +93,8 @@ class Vocabulary:
         # 0 is the end, 1 any other word
         self.inner = np.ones(len(self.words), np.int64)
         self.inner[inside] = 2 + np.arange(len(inside))
-        if END in self.ids:
-            self.inner[self.ids[END]] = 0
-        known = self.inner != 1
+        self.inner[self.ids[END]] = 0
+        known = (self.inner != 1) & (self.n > 0)
         self.others = self.tokens - int(self.n[known].sum())
         self.other_words = self.distinct - int(known.sum())
 
@@ -110,9 +109,10 @@ class Vocabulary:
 
 def vocabulary(table: DataFrame) -> Vocabulary:
     tokens, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = table.where(F.col("n") >= max(1.0, COMMON * tokens)).toPandas()
+    rows = table.where((F.col("n") >= max(1.0, COMMON * tokens)) | (F.col("word") == F.lit(END))).toPandas()
     rows = rows.sort_values(["n", "word"], ascending=[False, True], kind="stable")
-    return Vocabulary([bytes(w) for w in rows["word"]], rows["n"].to_numpy(np.int64), tokens, distinct)
+    words, n = [bytes(w) for w in rows["word"]], rows["n"].to_numpy(np.int64)
+    return Vocabulary(words, n, tokens, distinct) if END in words else Vocabulary([END], np.zeros(1, np.int64), tokens, distinct)
 
 
 @dataclass
@@ -185,7 +185,7 @@ def contexts(texts: list[bytes | None], vocab: Vocabulary) -> tuple[np.ndarray,
     one[first] = start
     two[first] = start
     two[(first + 1)[size > 1]] = start
-    inner = np.where(token >= 0, vocab.inner[np.maximum(token, 0)], 1) if len(vocab.words) else np.ones(len(token), np.int64)
+    inner = np.where(token >= 0, vocab.inner[np.maximum(token, 0)], 1)
     return token, one, two, inner, size
 
 
@@ -264,15 +264,16 @@ def partly_scored(docs: DataFrame, vocab: Vocabulary, weights: Weights) -> DataF
                 token, one, two, inner, size = contexts([every[k] for k in some], words)
                 of = np.repeat(np.arange(len(some)), size)
                 known, other = token >= 0, inner == 1
-                counted = np.where(known, common[np.maximum(token, 0)], 0.0) if len(common) else np.zeros(len(token))
+                counted = np.where(known, common[np.maximum(token, 0)], 0.0)
+                met = known & (words.n[np.maximum(token, 0)] > 0)
                 model_p = model.log_p(one, two, inner) / math.log(10)
                 total = lambda x: np.bincount(of, x, minlength=len(some))
                 rare = [
                     [{"word": w, "n": n} for w, n in Counter([w for w in words_of(every[k]) if w not in words.ids]).items()] if lost else []
-                    for k, lost in zip(some, total(~known) > (0 if END in words.ids else 1))
+                    for k, lost in zip(some, total(~known))
                 ]
                 columns = [
-                    pa.array([all_ids[k] for k in some], pa.int64()), pa.array(size), pa.array(total(known).astype(np.int64)), pa.array(total(counted)),
+                    pa.array([all_ids[k] for k in some], pa.int64()), pa.array(size), pa.array(total(met).astype(np.int64)), pa.array(total(counted)),
                     pa.array(total(other).astype(np.int64)), pa.array(total(np.where(other & known, counted, 0.0))), pa.array(total(model_p)), pa.array(rare, rare_type),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "common", "counted", "others", "counted_others", "model", "rare"])
@@ -286,7 +287,7 @@ def scored(docs: DataFrame, table: DataFrame, vocab: Vocabulary, weights: Weight
     parts = written(partly_scored(docs, vocab, weights).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
     least = max(1.0, COMMON * vocab.tokens)
     rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    found = rare.join(table.where(F.col("n") < least), "word", "left")
+    found = rare.join(table.where((F.col("n") < least) & (F.col("word") != F.lit(END))), "word", "left")
     sums = found.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("counted_rare"),

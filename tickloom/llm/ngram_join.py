@@ -40,9 +40,11 @@ SIZE = 5
 LEAST, OF = 75, 100
 #: A token in at least this share of a task's documents comes last in the order.
 OFTEN = 1 / 2000
-BITMAP = 512
+LEAST_BITS = 512
 #: Most members of a group, and most tokens of a cluster, that one task compares; larger ones are cut into blocks.
 GROUP_ROWS, CLUSTER_TOKENS = 4096, 400_000
+#: Most rows of one token that are held to compare its members with other tokens'.
+RUN = 1_000_000
 CACHED_WORDS = 400_000
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SIZE)], np.uint64)
 
@@ -75,13 +77,18 @@ def shingles(text: str | bytes | None, hashes: dict[bytes, int]) -> np.ndarray:
 
 
 def class_of(tokens: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
+    """A signed 64-bit name of a sorted set."""
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()))))
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens in each of ``BITMAP`` places: two sets differ in at least as many tokens as bits."""
-    counts = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % BITMAP, minlength=BITMAP)
+    """Parity of the tokens in each of as many places as there are tokens, rounded up to a power of two.
+
+    Two sets differ in at least as many tokens as bits. Half of the larger map added to the other half, bit by bit, is the
+    map of half the size, so that sets of different size compare.
+    """
+    places = max(LEAST_BITS, 1 << int(len(tokens) - 1).bit_length()) if len(tokens) else LEAST_BITS
+    counts = np.bincount((tokens >> np.uint64(32)).astype(np.int64) & (places - 1), minlength=places)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
@@ -160,13 +167,56 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(first_tokens, "token long, name long")
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``gid, name`` of the classes under each token that has several; rows come sorted by token and name.
+
+    ``gid`` is a hash of the members, so tokens with the same members make one group. A run of more than ``RUN`` rows is
+    not held: its rows pass as they come, under a hash of the token.
+    """
+    known: set[int] = set()
+
+    def group(names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = np.unique(names)
+        gid = class_of(names)
+        if len(names) > 1 and gid not in known:
+            if len(known) > CACHED_WORDS:
+                known.clear()  # repeats that are no longer known are dropped after the shuffle
+            known.add(gid)
+            yield named(gid, names)
+
+    def named(gid: int, names: np.ndarray) -> pa.RecordBatch:
+        return _table(gid=(np.full(len(names), gid), pa.int64()), name=(names, pa.int64()))
+
+    last, held, passing = None, [], False  # the token that the next batch may go on with, and its rows so far
+    for batch in batches:
+        token, name = (batch.column(c).to_numpy() for c in ("token", "name"))
+        begin = 0
+        if len(token) and token[0] == last:
+            begin = int(np.searchsorted(token, last, side="right"))
+            held.append(name[:begin])
+            if passing or sum(map(len, held)) > RUN:
+                passing = True
+                yield named(class_of(np.array([last])), np.concatenate(held))
+                held = []
+        if begin == len(token):
+            continue
+        if held and not passing:
+            yield from group(np.concatenate(held))
+        token, name = token[begin:], name[begin:]
+        starts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+        several = np.flatnonzero(np.diff(starts)[:-1] > 1)
+        for a, b in zip(starts[several], starts[several + 1]):
+            yield from group(name[a:b])
+        last, held, passing = token[-1], [name[starts[-2] :]], False
+    if held and not passing:
+        yield from group(np.concatenate(held))
+
+
 def groups(rows: DataFrame) -> DataFrame:
-    """``gid, members, name``: classes that share a token, groups with the same members once."""
-    dealt = rows.repartition("token").dropDuplicates(["token", "name"])
-    sizes = dealt.groupBy("token").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("name", F.lit(1))).alias("x"), F.sum(F.hash("name").cast("long")).alias("y"))
-    shared = sizes.where("members > 1")
-    chosen = shared.groupBy("members", "x", "y").agg(F.min("token").alias("token"))
-    return dealt.join(chosen.select("token", "members"), "token").select(F.col("token").alias("gid"), "members", "name")
+    """``gid, name, members``: classes that share a token, groups with the same members once."""
+    by_token = rows.repartition("token").sortWithinPartitions("token")
+    found = written(by_token.mapInArrow(_shared, "gid long, name long").dropDuplicates(["gid", "name"]), "shingle-groups")
+    return found.join(found.groupBy("gid").agg(F.count("*").alias("members")), "gid")
 
 
 def in_blocks(rows: DataFrame, key: str, blocks: str, by: str) -> DataFrame:
@@ -213,13 +263,43 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
+class _Maps:
+    """Bit maps of several sizes, to be compared in pairs."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.size = np.array([len(r) for r in raw])
+        self.place, self.maps = np.zeros(len(raw), np.int64), {}
+        for size in np.unique(self.size).tolist():
+            rows = np.flatnonzero(self.size == size)
+            self.place[rows] = np.arange(len(rows))
+            self.maps[size] = np.frombuffer(b"".join(raw[k] for k in rows), np.uint8).reshape(len(rows), size)
+
+    def differing(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits that differ in each pair of maps, the larger one folded to the size of the smaller."""
+        out = np.zeros(len(x), np.int64)
+        kinds = self.size[x] * (1 << 32) + self.size[y]
+        for kind in np.unique(kinds).tolist():
+            rows = np.flatnonzero(kinds == kind)
+            sizes = kind >> 32, kind & 0xFFFFFFFF
+            small = min(sizes)
+            for at in range(0, len(rows), max(1, (1 << 24) // max(sizes))):
+                some = rows[at : at + max(1, (1 << 24) // max(sizes))]
+                pair = [self.maps[size][self.place[side[some]]] for size, side in zip(sizes, (x, y))]
+                while pair[0].shape[1] > small:
+                    pair[0] = pair[0][:, : pair[0].shape[1] // 2] ^ pair[0][:, pair[0].shape[1] // 2 :]
+                while pair[1].shape[1] > small:
+                    pair[1] = pair[1][:, : pair[1].shape[1] // 2] ^ pair[1][:, pair[1].shape[1] // 2 :]
+                out[some] = np.bitwise_count((pair[0] ^ pair[1]).view(np.uint64)).sum(1)
+        return out
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of classes in a group that sizes and bit maps allow; enough of them to connect the classes."""
     for rows in _by_key(batches, ["gid", "i", "j"]):
         key = rows.groupby(["gid", "i", "j"], sort=False).ngroup().to_numpy()
         n, name, block = rows["n"].to_numpy(), rows["name"].to_numpy(), rows["block"].to_numpy()
         apart = (rows["i"] != rows["j"]).to_numpy()
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), -1)
+        maps = _Maps(rows["bits"].tolist())
         order = np.lexsort((n, key))
         found, pending = [], 0
         at, step = np.arange(len(order)), 1
@@ -232,7 +312,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 break
             most = (OF - LEAST) * (n[x] + n[y]) // (OF + LEAST)
-            fits = (np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= most) & ~(apart[x] & (block[x] == block[y]))
+            fits = (maps.differing(x, y) <= most) & ~(apart[x] & (block[x] == block[y]))
             found.append(np.stack([name[x[fits]], name[y[fits]]]))
             pending += int(fits.sum())
             if pending > 500_000:
@@ -379,7 +459,7 @@ def components_of(docs: DataFrame) -> DataFrame:
     classes = written(
         rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "shingle-sets"
     )
-    grouped = written(groups(prefixes(docs, common)), "shingle-groups")
+    grouped = groups(prefixes(docs, common))
     member = grouped.join(classes.select("name", "n", "bits"), "name").withColumn("blocks", F.ceil(F.col("members") / GROUP_ROWS))
     keys = ["gid", "i", "j"]
     possible = in_blocks(member, "gid", "blocks", "name").select(*keys, "block", "name", "n", "bits").repartition(*keys).sortWithinPartitions(*keys)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tickloom.llm import quality
 from tickloom.llm.binary import op7_binary
+from tickloom.llm.bpe import op1_bpe
 from tickloom.llm.fingerprint import op9_fingerprint
 from tickloom.llm.language import op10_language
 from tickloom.llm.lm import op6_lm
@@ -14,6 +15,7 @@ from tickloom.llm.secrets import op8_secrets
 from tickloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
