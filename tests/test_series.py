@@ -1,5 +1,7 @@
 """Blocked windows against plain pandas over the whole series, with blocks small enough to have many."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
 from tickloom.operators import features as FT
+from tickloom.operators import indicators
+from tickloom.operators.averages import with_averages
 from tickloom.operators.ordered import cumulative, quantiles
 from tickloom.operators.series import attach, exclusive_prefix, forward_fill, number_rows, running_max, running_sum, windowed
 
@@ -66,14 +70,31 @@ def test_rolling_lag_and_lead_cross_block_borders(bars, size):
         np.testing.assert_allclose(got[column].astype(float), want, rtol=1e-9, err_msg=column)
 
 
-@pytest.mark.parametrize("span", [2, 9, 26, 100])
-def test_ema_equals_recursion(bars, span):
+@pytest.mark.parametrize("size, fan", [(64, 4), (2048, 1024)])
+def test_averages_equal_recursion(bars, size, fan):
     df, _ = bars
-    before = R.ema_reach(span)
-    size = R.ema_block(before, [span], 2048)
-    got = sorted_pdf(windowed(df, lambda d, w: d.withColumn("e", R.ema("close", span, w)), before=before, size=size))
-    want = got.groupby("symbol").close.transform(lambda x: x.ewm(span=span, adjust=False).mean())
-    np.testing.assert_allclose(got.e, want, rtol=1e-12)
+    spans = [1, 2, 9, 26, 50, 1000]
+    got = sorted_pdf(with_averages(df, {f"e{s}": ("close", s) for s in spans}, size=size, fan=fan))
+    for s in spans:
+        want = got.groupby("symbol").close.transform(lambda x: x.ewm(span=s, adjust=False).mean())
+        np.testing.assert_allclose(got[f"e{s}"], want, rtol=1e-11, err_msg=str(s))
+
+
+def test_rsi_keeps_its_value_over_a_flat_stretch(spark):
+    """300 moving days, then a flat close: the averages shrink together, their ratio stays."""
+    rng = np.random.default_rng(4)
+    close = np.concatenate([100 + np.cumsum(rng.normal(size=300)), np.full(4000, 100.0)])
+    days = pd.DataFrame({"symbol": "A", "date": pd.date_range("2000-01-01", periods=len(close)).date, "close": close})
+    got = sorted_pdf(indicators.rsi(spark.createDataFrame(days)))
+    delta = pd.Series(close).diff().fillna(0)
+    up, down = (x.ewm(span=14, adjust=False).mean() for x in (delta.clip(lower=0), (-delta).clip(lower=0)))
+    np.testing.assert_allclose(got.RSI_14[1:], (100 - 100 / (1 + up / down))[1:], rtol=1e-7)
+
+
+def test_average_of_null_is_an_error(spark):
+    holes = spark.createDataFrame([("A", dt.date(2020, 1, d), None if d == 3 else 1.0) for d in range(1, 6)], "symbol string, date date, close double")
+    with pytest.raises(Exception, match="fill it before averaging"):
+        indicators.ema(holes, [3]).collect()
 
 
 def test_running_sum_and_max(bars):

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import col, log_ratio, ratio
 
-EMA_WARMUP = 20  # spans of history after which the weight of older rows is below double precision
-MAX_LOG = 690.0  # exp of this is still a finite double, with room for the values themselves
-
 
 def rolling(agg: Callable[[Column], Column], c: Column | str, n: int, w: WindowSpec) -> Column:
     """``agg`` over the last ``n`` rows, NULL until all ``n`` are present and not NULL."""
@@ -51,30 +47,3 @@ def true_range(w: WindowSpec) -> Column:
     previous = F.lag("close", 1).over(w)
     high, low = F.col("high"), F.col("low")
     return F.greatest(high - low, F.abs(high - previous), F.abs(low - previous))
-
-
-def ema_reach(*chained_spans: int) -> int:
-    """Rows of history that EMAs need, one computed on top of the other."""
-    return EMA_WARMUP * sum(chained_spans)
-
-
-def ema_block(before: int, spans: Sequence[int], wanted: int) -> int:
-    """Largest block length up to ``wanted`` whose EMA weights stay inside the range of a double."""
-    decay = max(-math.log(1 - 2 / (s + 1)) for s in spans)
-    return min(wanted, int(MAX_LOG / decay) - before)
-
-
-def ema(c: Column | str, span: int, w: WindowSpec) -> Column:
-    """Recursive exponential average y = (1-a)y + ax with a = 2/(span+1), started at the first value.
-
-    Unrolled, y at position p is q^p times the running sum of weight * x * q^-i with q = 1-a.
-    A running sum costs one addition per row, and needs no Python and no sequential fold.
-    It must run on the blocks of ``windowed`` with ``before >= ema_reach(span)``: positions
-    start at 0 in each block, so the powers stay small, and the copied rows carry the past.
-    ``c`` must not be NULL.
-    """
-    a = 2 / (span + 1)
-    q, pos = F.lit(1 - a), F.col("_pos").cast("double")
-    weight = F.when(F.col("_pos") == 0, F.lit(1.0)).otherwise(F.lit(a))
-    total = F.sum(col(c) * weight * F.pow(q, -pos)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return total * F.pow(q, pos)

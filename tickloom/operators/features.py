@@ -11,7 +11,7 @@ from tickloom.functions import rolling as R
 from tickloom.functions.scalar import calendar_features, ratio
 from tickloom.operators.bars import join_macro, join_sentiment, macro_range, macro_returns
 from tickloom.operators.columns import keep_complete
-from tickloom.operators.indicators import macd_line, rsi_averages, rsi_moves, rsi_value
+from tickloom.operators.indicators import oscillators
 from tickloom.operators.series import BLOCK_ROWS, exclusive_prefix, number_rows, windowed
 from tickloom.schemas import MACRO_SERIES, TARGET
 
@@ -50,8 +50,8 @@ def raw_features(
 ) -> DataFrame:
     """(symbol, date, features of ``groups``, target) before incomplete rows are dropped.
 
-    All indicators share the blocks of one shuffle.  On-balance volume, the only feature that
-    depends on the whole past, adds the total of earlier blocks from a pass over close and volume.
+    All indicators over a bounded frame share the blocks of one shuffle.  What depends on the whole past comes from
+    narrow passes: on-balance volume from close and volume, RSI and MACD from the close.
     """
     wanted = columns_of(groups)
     joined = bars
@@ -63,16 +63,9 @@ def raw_features(
         joined = join_sentiment(joined, sentiment) if sentiment is not None else joined.withColumns(no_news)
 
     joined = number_rows(joined, counted=bars)  # both joins keep the rows of the bars
-    before, spans = 50, []
-    if "rsi" in groups:
-        before, spans = R.ema_reach(14) + 1, [14]
-    if "macd" in groups or "macd_hist" in groups:  # reaches further back than RSI
-        before, spans = R.ema_reach(26, 9), [*spans, 9, 12, 26]
-    if spans:
-        size = R.ema_block(before, spans, size)
+    before = 50
     size = max(size, before)
-
-    macd = "macd" in groups or "macd_hist" in groups
+    rsi, macd = "rsi" in groups, "macd" in groups or "macd_hist" in groups
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         # One layer of columns per dependency on another window: each layer is one pass over the sorted block.
@@ -97,17 +90,14 @@ def raw_features(
             "ATR_Pct": ratio("ATR_14", "close"),
             **calendar_features("date"),
         }
-        if "rsi" in groups:
-            first.update(rsi_moves(w))
-            second.update(rsi_averages(w))
-            third["RSI_14"] = rsi_value(rsi_flat)
-        if macd:
-            second["MACD_Line"] = macd_line(w)
-            third["MACD_Signal"] = R.ema("MACD_Line", 9, w)
-        df = df.withColumns(first).withColumns(second).withColumns(third)
-        return df.withColumn("MACD_Histogram", F.col("MACD_Line") - F.col("MACD_Signal")) if macd else df
+        return df.withColumns(first).withColumns(second).withColumns(third)
 
     out = windowed(joined, build, before=before, after=1, size=size, keep=("_block", "_rn"))
+    if rsi or macd:  # these depend on the whole past; they are averaged over close alone and come back by position
+        narrow = number_rows(bars.select("symbol", "date", "close"))
+        averaged = oscillators(narrow, 14 if rsi else None, (12, 26, 9) if macd else None, rsi_flat)
+        averaged = averaged.withColumn("_block", F.floor(F.col("_rn") / size)).drop("date", "close")
+        out = out.join(averaged, ["symbol", "_block", "_rn"])
     if "OBV" in wanted or "OBV_ROC_5" in wanted:
         out = out.join(_obv_carry(bars, size), ["symbol", "_block"])
         out = out.withColumn("OBV", F.col("_obv") + F.coalesce("_carry", F.lit(0)))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
 from tickloom.functions.scalar import ratio
-from tickloom.operators.series import BLOCK_ROWS, attach, forward_fill, running_max, running_sum, windowed
+from tickloom.operators.averages import with_averages
+from tickloom.operators.series import attach, forward_fill, number_rows, running_max, running_sum, windowed
 
 TRADING_DAYS = 252
 
@@ -25,32 +26,18 @@ def log_returns(bars: DataFrame, column: str = "close", out: str = "log_return")
 
 
 def ema(bars: DataFrame, spans: Sequence[int], column: str = "close") -> DataFrame:
-    """One ``ema_<span>`` column per span."""
-    before = R.ema_reach(max(spans))
-    return windowed(
-        bars,
-        lambda d, w: d.withColumns({f"ema_{s}": R.ema(column, s, w) for s in spans}),
-        before=before,
-        size=R.ema_block(before, spans, BLOCK_ROWS),
-    )
-
-
-# RSI and MACD are split into layers: everything in one layer shares one pass over the sorted block.
+    """One ``ema_<span>`` column per span. A NULL value is an error: ``ffill`` first."""
+    return with_averages(bars, {f"ema_{s}": (column, s) for s in spans})
 
 
 def rsi_moves(w: WindowSpec) -> dict[str, Column]:
-    """Layer 1: rise and fall of the close, 0 on the first row."""
+    """Rise and fall of the close, 0 on the first row."""
     delta = F.col("close") - F.lag("close", 1).over(w)
     return {"_gain": F.when(delta > 0, delta).otherwise(0.0), "_loss": F.when(delta < 0, -delta).otherwise(0.0)}
 
 
-def rsi_averages(w: WindowSpec, span: int = 14) -> dict[str, Column]:
-    """Layer 2, over layer 1."""
-    return {"_g": R.ema("_gain", span, w), "_l": R.ema("_loss", span, w)}
-
-
 def rsi_value(flat: float | None = 100.0) -> Column:
-    """RSI from layer 2; ``flat`` is the value where prices neither rose nor fell so far."""
+    """RSI from the averages ``_g`` and ``_l``; ``flat`` is the value where prices neither rose nor fell so far."""
     return (
         F.when((F.col("_l") == 0) & (F.col("_g") == 0), F.lit(flat).cast("double"))
         .when(F.col("_l") == 0, F.lit(100.0))
@@ -58,32 +45,33 @@ def rsi_value(flat: float | None = 100.0) -> Column:
     )
 
 
-def macd_line(w: WindowSpec, fast: int = 12, slow: int = 26) -> Column:
-    """Layer 2; the signal is layer 3, an average of the line."""
-    return R.ema("close", fast, w) - R.ema("close", slow, w)
-
-
-def rsi_columns(df: DataFrame, w: WindowSpec, span: int = 14, out: str = "RSI_14") -> DataFrame:
-    df = df.withColumns(rsi_moves(w)).withColumns(rsi_averages(w, span))
-    return df.withColumn(out, rsi_value()).drop("_gain", "_loss", "_g", "_l")
-
-
-def macd_columns(df: DataFrame, w: WindowSpec, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = df.withColumn("MACD_Line", macd_line(w, fast, slow))
-    df = df.withColumn("MACD_Signal", R.ema("MACD_Line", signal, w))
-    return df.withColumn("MACD_Histogram", F.col("MACD_Line") - F.col("MACD_Signal"))
+def oscillators(bars: DataFrame, rsi_span: int | None = 14, macd_spans: tuple[int, int, int] | None = (12, 26, 9), flat: float | None = 100.0) -> DataFrame:
+    """RSI and MACD columns, each over the whole history of its series; the averages of both share their passes."""
+    averages: dict[str, tuple[str, int]] = {}
+    out = bars
+    if rsi_span:
+        out = windowed(out, lambda d, w: d.withColumns(rsi_moves(w)), before=1, keep=("_rn",))
+        averages |= {"_g": ("_gain", rsi_span), "_l": ("_loss", rsi_span)}
+    elif "_rn" not in out.columns:
+        out = number_rows(out)
+    if macd_spans:
+        averages |= {"_fast": ("close", macd_spans[0]), "_slow": ("close", macd_spans[1])}
+    out = with_averages(out, averages)
+    if rsi_span:
+        out = out.withColumn("RSI_14", rsi_value(flat))
+    if macd_spans:
+        out = with_averages(out.withColumn("MACD_Line", F.col("_fast") - F.col("_slow")), {"MACD_Signal": ("MACD_Line", macd_spans[2])})
+        out = out.withColumn("MACD_Histogram", F.col("MACD_Line") - F.col("MACD_Signal"))
+    helpers = {"_gain", "_loss", *averages} | ({"_rn"} if "_rn" not in bars.columns else set())
+    return out.drop(*helpers)
 
 
 def rsi(bars: DataFrame, span: int = 14) -> DataFrame:
-    before = R.ema_reach(span) + 1
-    size = R.ema_block(before, [span], BLOCK_ROWS)
-    return windowed(bars, lambda d, w: rsi_columns(d, w, span), before=before, size=size)
+    return oscillators(bars, rsi_span=span, macd_spans=None)
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    before = R.ema_reach(max(fast, slow), signal)
-    size = R.ema_block(before, [fast, slow, signal], BLOCK_ROWS)
-    return windowed(bars, lambda d, w: macd_columns(d, w, fast, slow, signal), before=before, size=size)
+    return oscillators(bars, rsi_span=None, macd_spans=(fast, slow, signal))
 
 
 def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
@@ -147,10 +135,8 @@ def sma_crossover(bars: DataFrame, fast: int = 20, slow: int = 50) -> DataFrame:
 
 def regime_flags(bars: DataFrame) -> DataFrame:
     """RSI band, sign of the MACD histogram and volume shock as labels."""
-    before = R.ema_reach(26, 9)
 
     def columns(df: DataFrame, w: WindowSpec) -> DataFrame:
-        df = macd_columns(rsi_columns(df, w), w)
         shock = ratio("volume", R.sma("volume", 10, w))
         return df.withColumns(
             {
@@ -160,4 +146,4 @@ def regime_flags(bars: DataFrame) -> DataFrame:
             }
         )
 
-    return windowed(bars, columns, before=before, size=R.ema_block(before, [9, 12, 14, 26], BLOCK_ROWS))
+    return windowed(oscillators(number_rows(bars)), columns, before=10)

@@ -72,9 +72,10 @@ def rolling(function: str, column: str, n: int) -> str:
     return f"CASE WHEN count({column}) {frame(n)} = {n} THEN {function}({column}) {frame(n)} END"
 
 
-def ema(column: str, span: int, rows: int = 640) -> str:
+def ema(column: str, span: int) -> str:
+    """Over the whole history: the list of all values so far, reduced in order."""
     a = 2 / (span + 1)
-    return f"list_reduce(list({column}) {frame(rows)}, lambda acc, x: {1 - a!r} * acc + {a!r} * x)"
+    return f"list_reduce(list({column}) {W}, lambda acc, x: {1 - a!r} * acc + {a!r} * x)"
 
 
 def with_(*ctes: str) -> str:
