@@ -468,7 +468,8 @@ def components_of(docs: DataFrame) -> DataFrame:
     of_class = cluster.join(classes.select("name", "doc_id", "n"), "name")
     size = of_class.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER_TOKENS).alias("blocks"))
     placed = written(of_class.join(size, "cluster"), "shingle-clusters")
-    texts = placed.where("doc_id is not null").join(docs, "doc_id")
+    # clustered classes grow with the documents, so neither side is ever sent to all tasks
+    texts = placed.where("doc_id is not null").join(docs.hint("merge"), "doc_id")
     keys = ["cluster", "i", "j"]
     sent = in_blocks(texts, "cluster", "blocks", "name").select(*keys, "block", "name", "text").repartition(*keys).sortWithinPartitions(*keys)
     links = written(sent.mapInArrow(_linked, "a long, b long"), "shingle-links")
