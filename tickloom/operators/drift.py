@@ -18,7 +18,6 @@ KEYS = ["symbol", "feature"]
 MIN_ROWS = 5
 SHARE = 0.5
 THRESHOLDS = {"ks": 0.05, "wasserstein": 0.1, "psi": 0.1}
-AUTO_ROWS = 1000
 MIN_SCALE = 0.001
 MIN_SHARE = 0.0001
 DECILES = {f"q{i}": i / 10 for i in range(1, 10)}
@@ -135,7 +134,7 @@ def drift(
 ) -> DataFrame:
     """(symbol, feature, method, statistic, threshold, drifted).
 
-    ``auto`` takes Kolmogorov-Smirnov for up to 1,000 reference rows and Wasserstein beyond.
+    The caller names the test, ``ks``, ``wasserstein`` or ``psi``; it does not depend on the number of rows.
     For ``ks`` the statistic is the p-value and low means drift, for the others high means drift.
     """
     long = long_sides(reference, current, features, missing)
@@ -145,30 +144,17 @@ def drift(
 
 def judge(long: DataFrame, sides: DataFrame, method: str = "ks", threshold: float | None = None) -> DataFrame:
     """Test results from prepared input, see ``drift``."""
-    parts = []
-    if method in ("ks", "auto"):
-        parts.append(("ks", ks(sides).select(*KEYS, F.col("p_value").alias("statistic"), "n_ref")))
-    if method in ("wasserstein", "auto"):
-        parts.append(("wasserstein", wasserstein(sides, long).select(*KEYS, "statistic", "n_ref")))
-    if method == "psi":
-        parts.append(("psi", psi(sides).select(*KEYS, "statistic", "n_ref")))
-    if not parts:
+    if method == "ks":
+        found = ks(sides).select(*KEYS, F.col("p_value").alias("statistic"))
+    elif method == "wasserstein":
+        found = wasserstein(sides, long).select(*KEYS, "statistic")
+    elif method == "psi":
+        found = psi(sides).select(*KEYS, "statistic")
+    else:
         raise ValueError(f"unknown method {method}")
-    if method == "auto":
-        small = F.col("n_ref") <= AUTO_ROWS
-        parts = [(n, d.filter(small if n == "ks" else ~small)) for n, d in parts]
-
-    def judged(name: str, df: DataFrame) -> DataFrame:
-        limit = F.lit(float(THRESHOLDS[name] if threshold is None else threshold))
-        drifted = F.col("statistic") < limit if name == "ks" else F.col("statistic") >= limit
-        return df.select(
-            *KEYS, F.lit(name).alias("method"), "statistic", limit.alias("threshold"), drifted.alias("drifted")
-        )
-
-    out = judged(*parts[0])
-    for part in parts[1:]:
-        out = out.unionByName(judged(*part))
-    return out
+    limit = F.lit(float(THRESHOLDS[method] if threshold is None else threshold))
+    drifted = F.col("statistic") < limit if method == "ks" else F.col("statistic") >= limit
+    return found.select(*KEYS, F.lit(method).alias("method"), "statistic", limit.alias("threshold"), drifted.alias("drifted"))
 
 
 def verdict(report: DataFrame, share: float = SHARE) -> DataFrame:

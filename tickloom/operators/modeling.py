@@ -33,18 +33,39 @@ from tickloom.session import written
 
 SEED = 42
 MAX_DEPTH = 30  # what MLlib trees allow
+#: Settings that MLlib's trees know, by their names in a trial.
+SETTINGS = {
+    "max_depth": ("maxDepth", int),
+    "subsample": ("subsamplingRate", float),
+    "colsample_bytree": ("featureSubsetStrategy", str),
+    "min_child_samples": ("minInstancesPerNode", int),
+}
+TREES = {"gbt": {"n_estimators": ("maxIter", int), "learning_rate": ("stepSize", float)}, "random_forest": {"n_estimators": ("numTrees", int)}}
+#: What a trial has besides: its name, and settings that are not the model's.
+OTHER = {"model_type", "trial_id", "sequence_length"}
 
 
 def estimator(model_type: str, params: Mapping[str, str | int | float]):
-    """An MLlib regressor for a trial's settings; a depth of -1 means as deep as allowed."""
-    trees, depth = int(params.get("n_estimators", 100)), int(params.get("max_depth", 5))
-    depth = MAX_DEPTH if depth < 0 else min(depth, MAX_DEPTH)
-    common = {"featuresCol": "vector", "labelCol": "label", "predictionCol": "prediction", "maxDepth": depth, "seed": SEED}
+    """An MLlib regressor for a trial's settings; a depth of -1 means as deep as MLlib allows.
+
+    Settings that the model does not have, and depths beyond that limit, are errors. A rate of learning is ignored by forests,
+    as all trials carry one.
+    """
+    if model_type not in TREES:
+        raise ValueError(f"unknown model {model_type}")
+    known = SETTINGS | TREES[model_type]
+    given = {k: v for k, v in params.items() if k not in OTHER and not (k == "learning_rate" and model_type == "random_forest")}
+    if unknown := given.keys() - known.keys():
+        raise ValueError(f"{model_type} has no setting {sorted(unknown)}")
+    values = {"maxDepth": 5, **{known[k][0]: known[k][1](v) for k, v in given.items()}}
+    if values["maxDepth"] > MAX_DEPTH:
+        raise ValueError(f"a depth of {values['maxDepth']} is more than MLlib's {MAX_DEPTH}")
+    if values["maxDepth"] < 0:
+        values["maxDepth"] = MAX_DEPTH
+    common = {"featuresCol": "vector", "labelCol": "label", "predictionCol": "prediction", "seed": SEED}
     if model_type == "gbt":
-        return GBTRegressor(maxIter=trees, stepSize=float(params.get("learning_rate", 0.1)), **common)
-    if model_type == "random_forest":
-        return RandomForestRegressor(numTrees=trees, **common)
-    raise ValueError(f"unknown model {model_type}")
+        return GBTRegressor(**{"maxIter": 100, "stepSize": 0.1, **values}, **common)
+    return RandomForestRegressor(**{"numTrees": 100, **values}, **common)
 
 
 def samples(

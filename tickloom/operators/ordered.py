@@ -18,7 +18,20 @@ from tickloom.operators.series import attach
 from tickloom.session import ensure_checkpoint_dir, written
 
 ROWS_PER_PART = 2_000_000
-MIN_PARTS, MAX_PARTS = 4, 1024
+MIN_PARTS = 4
+
+
+def _cuts_below(cuts: Column, value: Column, parts: int) -> Column:
+    """How many of the sorted cuts, fewer than ``parts``, are smaller than the value: a binary search, log2(parts) steps."""
+    span = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        below = F.struct((middle + 1).alias("low"), s["high"].alias("high"))
+        above = F.struct(s["low"].alias("low"), middle.alias("high"))
+        return F.when(s["low"] >= s["high"], s).when(F.get(cuts, middle) < value, below).otherwise(above)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(parts.bit_length())), span, halve, lambda s: s["low"])
 
 
 def cumulative(
@@ -34,11 +47,11 @@ def cumulative(
     # rows and part totals must agree on them: the tiny table is fixed by a reliable checkpoint.
     ensure_checkpoint_dir(df.sparkSession)
     if parts is None:  # the row count comes from the footers of the table just written
-        parts = max(MIN_PARTS, min(MAX_PARTS, -(-distinct.count() // ROWS_PER_PART)))
+        parts = max(MIN_PARTS, -(-distinct.count() // ROWS_PER_PART))
     parts = max(2, parts)
     probabilities = [i / parts for i in range(1, parts)]
     cuts = distinct.groupBy(*keys).agg(F.percentile_approx(value, probabilities, 10 * parts).alias("_cuts")).checkpoint()
-    part = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    part = _cuts_below(F.col("_cuts"), F.col(value), parts)
     placed = attach(distinct, cuts, keys, value).withColumn("_part", part).drop("_cuts").repartition(*keys, "_part")
 
     inside = Window.partitionBy(*keys, "_part").orderBy(value)

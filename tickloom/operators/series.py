@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 BLOCK_ROWS = 2048
 CHUNK_DAYS = 2048  # days per numbering chunk of a daily series; a series ordered by timestamps is chunked by day
 PREFIX_FAN = 1024
-SALTS = 32
 
 Keys = str | Sequence[str]
 
@@ -69,17 +68,19 @@ def number_rows(
 
 
 def attach(
-    df: DataFrame, stats: DataFrame, key: Keys = "symbol", spread: Keys = "date", how: str = "inner", salts: int = SALTS
+    df: DataFrame, stats: DataFrame, key: Keys = "symbol", spread: Keys = "date", how: str = "inner", salts: int | None = None
 ) -> DataFrame:
     """Join a table with one row per key to the rows of a series.
 
     A plain join on the key alone would bring all rows of a hot key to one task.  Here the rows of a key
-    are spread over ``salts`` tasks by a hash of ``spread`` and the small side is repeated for each; if it
+    are spread over ``salts`` tasks, by default as many as a shuffle has, by a hash of ``spread`` or of all columns, and the
+    small side is repeated for each; if it
     proves small enough at run time, Spark broadcasts it and shuffles nothing.
     """
     keys = _keys(key)
-    spreading = _keys(spread)
-    salt = F.pmod(F.xxhash64(*spreading), F.lit(salts)) if spreading else F.lit(0).cast("bigint")
+    spreading = _keys(spread) or df.columns
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*spreading), F.lit(salts))
     salted = df.withColumn("_salt", salt)
     repeated = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

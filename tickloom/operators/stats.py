@@ -15,7 +15,6 @@ from tickloom.operators.series import BLOCK_ROWS, attach, number_rows, windowed
 from tickloom.schemas import OHLCV
 
 TRADING_DAYS = 252
-MAX_PIVOT = 200
 
 
 def ticker_inventory(bars: DataFrame, columns: Sequence[str] = tuple(OHLCV)) -> DataFrame:
@@ -131,17 +130,10 @@ def corr_with_target(df: DataFrame, features: Sequence[str], target: str, keys:
     return one.select(*keys, F.inline("_all")).orderBy(*keys, "corr")
 
 
-def returns_aligned(returns: DataFrame, symbols: Sequence[str] | None = None, c: str = "log_return") -> DataFrame:
-    """One return column per symbol on the dates that all of them have.
-
-    The symbols become columns, so their number is limited; name them to save the pass that looks them up.
-    """
-    if symbols is None:
-        found = returns.select("symbol").distinct().orderBy("symbol").limit(MAX_PIVOT + 1).collect()
-        symbols = [row.symbol for row in found]
-        if len(symbols) > MAX_PIVOT:
-            raise ValueError(f"more than {MAX_PIVOT} symbols: name the ones to compare")
-    return returns.groupBy("date").pivot("symbol", list(symbols)).agg(F.first(c)).na.drop()
+def returns_aligned(returns: DataFrame, symbols: Sequence[str], c: str = "log_return") -> DataFrame:
+    """One return column per named symbol on the dates that all of them have. Every symbol is a column: name a few."""
+    named = returns.where(F.col("symbol").isin(list(symbols)))
+    return named.groupBy("date").pivot("symbol", list(symbols)).agg(F.first(c)).na.drop()
 
 
 def acf(returns: DataFrame, c: str = "log_return", nlags: int = 40) -> DataFrame:

@@ -37,7 +37,7 @@ MACRO_RETURNS = (
 
 SCORED = """scored AS (
   SELECT o_orderpriority AS symbol, CAST(l_shipdate AS DATE) AS date, l_discount * 10 - l_tax * 10 AS score
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_quantity > 2)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 2)"""
 
 SENTIMENT = (
     SCORED

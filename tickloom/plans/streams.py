@@ -43,12 +43,12 @@ def stream_daily_bars(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {S.BARS}, {HALVES}, {UPSERTED} SELECT symbol, date, open, high, low, {r('close', 4)} AS close, volume FROM up",
 )
 def stream_history_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Two deliveries of bars, the second corrects a month of the first; each is one run of the stream."""
+    """Two deliveries of bars, the second corrects a month of the first; both are there before the one run of the stream."""
     path = scratch_path(spark, "stream-upsert")
     for part in halves(spark, sf):
         part.write.mode("append").parquet(f"{path}/inbox")
-        stream = jobs.file_stream(spark, f"{path}/inbox", BARS_SCHEMA)
-        jobs.upsert_history(stream, f"{path}/table", f"{path}/checkpoint")
+    stream = jobs.delivered(jobs.file_stream(spark, f"{path}/inbox", BARS_SCHEMA))
+    jobs.upsert_history(stream, f"{path}/table", f"{path}/checkpoint")
     out = jobs.read_versions(spark, f"{path}/table", BARS_SCHEMA, ["symbol", "date"])
     return show(out, "symbol", "date", "open", "high", "low", "volume", close=4)
 

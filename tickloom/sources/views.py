@@ -46,7 +46,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     def score(label: str, value: Column) -> Column:
         return F.struct(F.lit(label).alias("label"), value.alias("score"))
 
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_orderpriority").alias("symbol"),
@@ -88,7 +88,6 @@ def cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validation scores (trial_id, split, score)."""
     return (
         table(spark, sf_dir, "lineitem")
-        .filter("l_linenumber <= 5")
         .groupBy(F.col("l_suppkey").alias("trial_id"), F.col("l_linenumber").alias("split"))
         .agg((-F.avg("l_discount")).alias("score"))
     )

@@ -20,6 +20,7 @@ from tickloom.operators.upsert import latest
 from tickloom.schemas import PREDICTION_LOG
 
 BATCH = "batch_id"
+DELIVERED = "delivered"
 
 
 def file_stream(
@@ -49,6 +50,11 @@ def read_versions(spark: SparkSession, path: str, schema: T.StructType, keys: Se
     return latest(spark.read.schema(full).parquet(path), keys, BATCH)
 
 
+def compact(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], to: str) -> None:
+    """Fold all versions into one at a new path, as the base for a stream that goes on there; batches have numbers from 0 on."""
+    read_versions(spark, path, schema, keys).write.parquet(f"{to}/{BATCH}=-1")
+
+
 def run(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Start the stream on everything that is there and wait for its end."""
     query = (
@@ -79,12 +85,20 @@ def daily_bars(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
     )
 
 
-def upsert_history(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("symbol", "date")) -> StreamingQuery:
-    """Append each batch of bars as a version, one row per key; the newest batch wins on read."""
+def delivered(stream: DataFrame) -> DataFrame:
+    """A stream of files with the time at which the file of each row was delivered."""
+    return stream.select("*", F.col("_metadata.file_modification_time").alias(DELIVERED))
+
+
+def upsert_history(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("symbol", "date"), version: str = DELIVERED) -> StreamingQuery:
+    """Append each batch of bars as a version, one row per key; the newest batch wins on read.
+
+    Within a batch the row with the highest ``version`` wins, so that it does not matter whether deliveries share a batch.
+    """
     write = versioned_sink(path)
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        write(df.dropDuplicates(list(keys)), batch_id)
+        write(latest(df, list(keys), version), batch_id)
 
     return run(stream, sink, checkpoint)
 
