@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.series import first_rows
 from tickloom.schemas import INDEX_SYMBOL
 
 
 def tail(df: DataFrame, n: int, key: str = "symbol", order: str = "date") -> DataFrame:
-    """The last ``n`` rows per key; Spark cuts each task's rows to ``n`` before the shuffle."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+    """The last ``n`` rows per key."""
+    return first_rows(df, key, [F.col(order).desc()], n)
 
 
 def last_quote(bars: DataFrame) -> DataFrame:

@@ -86,6 +86,22 @@ def attach(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def first_rows(df: DataFrame, key: Keys, order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first ``n`` rows of each key.
+
+    Rows are ranked within a key's salts first, as many as a shuffle has tasks, and what is left of these within the key, so
+    that no task sees more of a hot key than ``n`` rows for each salt. Spark cuts to ``n`` before either shuffle as well.
+    """
+    keys = _keys(key)
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = [c for c, kind in df.dtypes if not kind.startswith("map") and "map<" not in kind]
+    out = df.withColumn("_salt", F.pmod(F.xxhash64(*values), F.lit(salts)))
+    for level in ([*keys, "_salt"], keys):
+        w = Window.partitionBy(*level).orderBy(*order)
+        out = out.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+    return out.drop("_salt")
+
+
 def windowed(
     df: DataFrame,
     build: Callable[[DataFrame, WindowSpec], DataFrame],

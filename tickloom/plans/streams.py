@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import utc_instant
+from tickloom.operators.upsert import latest
 from tickloom.plans import sql as S
-from tickloom.plans.monitoring import VERDICT, sides
+from tickloom.plans.monitoring import RAISED, VERDICT, sides
 from tickloom.plans.registry import query, show
 from tickloom.plans.sql import r
 from tickloom.plans.tables import HALVES, TS, UPSERTED, event_logs, halves
@@ -61,15 +62,31 @@ def stream_log_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return flatten_features(spark.read.parquet(f"{path}/table"), ["value", "k"], keep=("symbol", "timestamp"))
 
 
+NEWEST = (
+    "WHERE side = 'reference' OR event_id IN (SELECT event_id FROM (SELECT event_id, row_number() OVER "
+    "(PARTITION BY symbol ORDER BY ts + to_microseconds(event_id) DESC) AS n FROM logs WHERE side = 'current') WHERE n <= 100)"
+)
+
+
 @query(
     "stream_drift_check",
-    f"{VERDICT} SELECT symbol, features, {r('drift_share', 6)} AS drift_share, drift_share >= 0.5 AS dataset_drift FROM verdict",
+    VERDICT.replace("AS value, k FROM logs)", f"AS value, k FROM logs {NEWEST})", 1)
+    + f" SELECT symbol, features, {r('drift_share', 6)} AS drift_share, drift_share >= 0.5 AS dataset_drift FROM verdict",
 )
 def stream_drift_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs arrive in several batches; the last verdict of a symbol is that on its newest 100 logs."""
     path = scratch_path(spark, "stream-drift")
-    reference, current = sides(spark, sf)
-    stamped = current.withColumns({"ts": F.lit("2024-01-31").cast("timestamp"), "prediction_output": F.struct(F.lit(None).cast("double").alias("current_price"))})
-    build_log(stamped, ["value", "k"]).write.json(f"{path}/inbox")
-    jobs.drift_checks(jobs.log_stream(spark, f"{path}/inbox"), reference, ["value", "k"], f"{path}/table", f"{path}/checkpoint")
-    out = spark.read.parquet(f"{path}/table").drop(jobs.BATCH)
+    reference, _ = sides(spark, sf)
+    factor = F.when(F.col("symbol").isin(RAISED), 1.5).otherwise(1.0)
+    current = views.feature_logs(spark, sf).filter(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz"))
+    stamped = current.withColumns(
+        {
+            "value": F.col("value") * factor,
+            "ts": F.timestamp_micros(F.unix_micros(utc_instant("ts")) + F.col("event_id")),
+            "prediction_output": F.struct(F.lit(None).cast("double").alias("current_price")),
+        }
+    )
+    build_log(stamped, ["value", "k"]).repartition(8).write.json(f"{path}/inbox")
+    jobs.drift_checks(jobs.log_stream(spark, f"{path}/inbox", 2), reference, ["value", "k"], path, f"{path}/checkpoint")
+    out = latest(spark.read.parquet(f"{path}/verdicts"), ["symbol"], jobs.BATCH)
     return show(out, "symbol", "features", "dataset_drift", drift_share=6)

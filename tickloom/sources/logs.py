@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.scalar import finite
+from tickloom.operators.series import first_rows
 from tickloom.schemas import PREDICTION_LOG
 from tickloom.sources.files import read_table
 
@@ -55,10 +56,9 @@ def read_logs(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def newest(logs: DataFrame, order: Sequence[Column | str], n: int = LOG_LIMIT) -> DataFrame:
-    """The newest ``n`` records with features per symbol; Spark cuts each task's rows to ``n`` before the shuffle."""
-    w = Window.partitionBy("symbol").orderBy(*order)
+    """The newest ``n`` records with features per symbol."""
     kept = logs.filter(F.col("features_input").isNotNull()) if "features_input" in logs.columns else logs
-    return kept.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+    return first_rows(kept, "symbol", order, n)
 
 
 def flatten_features(logs: DataFrame, features: Sequence[str], keep: Sequence[str] = ("symbol",)) -> DataFrame:

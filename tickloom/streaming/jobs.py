@@ -18,6 +18,7 @@ from tickloom.functions.scalar import utc_date
 from tickloom.operators.drift import drift, verdict
 from tickloom.operators.upsert import latest
 from tickloom.schemas import PREDICTION_LOG
+from tickloom.sources.logs import LOG_LIMIT, flatten_features, newest
 
 BATCH = "batch_id"
 DELIVERED = "delivered"
@@ -113,15 +114,19 @@ def ingest_logs(spark: SparkSession, path: str, table: str, checkpoint: str, fil
 
 
 def drift_checks(
-    logs: DataFrame, reference: DataFrame, features: Sequence[str], path: str, checkpoint: str, **options
+    logs: DataFrame, reference: DataFrame, features: Sequence[str], path: str, checkpoint: str, n: int = LOG_LIMIT, **options
 ) -> StreamingQuery:
-    """A verdict per symbol for each batch of logs."""
-    write = versioned_sink(path)
+    """Each batch of logs is added to the table ``path/logs``; then the newest ``n`` logs per symbol in it are judged.
+
+    However small the batches are, a symbol is judged as soon as the table has enough of its logs. Verdicts go to
+    ``path/verdicts``, one version for each batch.
+    """
+    add, write = versioned_sink(f"{path}/logs"), versioned_sink(f"{path}/verdicts")
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        current = df.filter(F.col("features_input").isNotNull()).select(
-            "symbol", *[F.col("features_input")[c].alias(c) for c in features]
-        )
+        add(df, batch_id)
+        table = df.sparkSession.read.schema(PREDICTION_LOG).parquet(f"{path}/logs")
+        current = flatten_features(newest(table, [F.desc("timestamp")], n), features)
         write(verdict(drift(reference, current, features=list(features), **options)), batch_id)
 
     return run(logs, sink, checkpoint)
