@@ -29,13 +29,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; rows without an id stay.
 
-    Of rows that repeat an id one stays, the one whose text sorts first.
+    Of rows that repeat an id one stays, the one whose text sorts first; null sorts before all.
     """
     parts = near.components_of(docs)
     stay = parts.where("doc_id is not null and component_id = doc_id").select("doc_id").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
     found = rows.where("id is not null").join(stay.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    first = found.groupBy("id").agg(F.min_by("row", F.col("row.text")).alias("row"))
+    first = found.groupBy("id").agg(F.min_by("row", F.struct(F.col("row.text").isNotNull(), F.col("row.text"))).alias("row"))
     return first.select("row.*").union(docs.where("doc_id is null"))
 
 
