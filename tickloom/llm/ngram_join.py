@@ -45,7 +45,7 @@ LEAST_BITS = 512
 GROUP_ROWS, CLUSTER_TOKENS = 4096, 400_000
 #: Most rows of one token that are held to compare its members with other tokens'.
 RUN = 1_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SIZE)], np.uint64)
 
 
@@ -282,8 +282,8 @@ class _Maps:
             rows = np.flatnonzero(kinds == kind)
             sizes = kind >> 32, kind & 0xFFFFFFFF
             small = min(sizes)
-            for at in range(0, len(rows), max(1, (1 << 24) // max(sizes))):
-                some = rows[at : at + max(1, (1 << 24) // max(sizes))]
+            for at in range(0, len(rows), max(1, (1 << 22) // max(sizes))):
+                some = rows[at : at + max(1, (1 << 22) // max(sizes))]
                 pair = [self.maps[size][self.place[side[some]]] for size, side in zip(sizes, (x, y))]
                 while pair[0].shape[1] > small:
                     pair[0] = pair[0][:, : pair[0].shape[1] // 2] ^ pair[0][:, pair[0].shape[1] // 2 :]
@@ -411,7 +411,7 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray | None = None) -> list
     probes = np.array([k for k in range(len(sets)) if side is None or side[k] == 1])
     sizes = np.array([len(s) for s in sets])
     part, found = np.arange(len(sets)), []
-    step = max(1, 30_000_000 // len(value))
+    step = max(1, 8_000_000 // len(value))
     for at in range(0, len(probes), step):
         some = probes[at : at + step]
         held = np.zeros((len(some), len(value)), bool)

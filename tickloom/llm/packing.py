@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,31 +30,38 @@ from tickloom.session import written
 
 CAPACITY = 2048
 END_ID = 1
-PIECES = "array<struct<start:long,length:long,ids_crc32:long,ids:binary>>"
+#: Documents whose pieces leave a task together.
+EMIT = 500
+SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())]
+)
 
 
-def cut(encoder: Encoder, text: str | None, capacity: int = CAPACITY, keep_ids: bool = False) -> list[dict]:
-    """Pieces of a document's ids with the end id: whole windows, then the rest."""
+def cut(encoder: Encoder, text: str | None, capacity: int = CAPACITY) -> list[tuple[int, bytes]]:
+    """Pieces of a document's ids with the end id, ``start, ids``: whole windows, then the rest."""
     ids = np.append(encoder.encode(text), np.uint32(END_ID)).astype("<u4")
-    pieces = []
-    for start in range(0, len(ids), capacity):
-        raw = ids[start : start + capacity].tobytes()
-        pieces.append({"start": start, "length": len(raw) // 4, "ids_crc32": zlib.crc32(raw), "ids": raw if keep_ids else None})
-    return pieces
+    return [(start, ids[start : start + capacity].tobytes()) for start in range(0, len(ids), capacity)]
 
 
 def with_pieces(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, ids, doc_tokens``; ids as little-endian 32-bit integers, or null."""
+    """One row per piece: ``doc_id, start, length, ids_crc32, ids, doc_tokens``; ids as little-endian 32-bit integers, or null.
 
-    @F.pandas_udf(PIECES)
-    def pieces(texts: pd.Series) -> pd.Series:
-        return pd.Series([cut(encoder, text, capacity, keep_ids) for text in texts])
+    A task holds a batch of texts and the pieces of ``EMIT`` of them.
+    """
 
-    cut_up = docs.select("doc_id", pieces("text").alias("all"))
-    total = F.aggregate("all", F.lit(0).cast("long"), lambda n, p: n + p["length"])
-    return cut_up.select("doc_id", total.alias("doc_tokens"), F.explode("all").alias("p")).select(
-        "doc_id", "p.start", "p.length", "p.ids_crc32", "p.ids", "doc_tokens"
-    )
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, EMIT):
+                part, rows = batch.slice(at, EMIT), []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = cut(encoder, text, capacity)
+                    total = sum(len(raw) for _, raw in found) // 4
+                    rows += [(doc_id, start, len(raw) // 4, zlib.crc32(raw), raw if keep_ids else None, total) for start, raw in found]
+                columns = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, ids binary, doc_tokens long"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, schema)
 
 
 @dataclass(frozen=True)
