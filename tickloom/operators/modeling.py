@@ -42,7 +42,7 @@ SETTINGS = {
 }
 TREES = {"gbt": {"n_estimators": ("maxIter", int), "learning_rate": ("stepSize", float)}, "random_forest": {"n_estimators": ("numTrees", int)}}
 #: What a trial has besides: its name, and settings that are not the model's.
-OTHER = {"model_type", "trial_id", "sequence_length"}
+OTHER = {"model_type", "symbol", "trial", "trial_id", "sequence_length"}
 
 
 def estimator(model_type: str, params: Mapping[str, str | int | float]):
