@@ -314,6 +314,17 @@ def scores(docs, learned=None):
     return lm.scored(docs, table, vocab, weights).collect()
 
 
+def test_language_model_learns_from_every_text(spark):
+    """Each text has a pair of words of its own; after training the second word follows the first with more than its share."""
+    pairs = [(f"a{k}", f"b{k}") for k in range(40)]
+    docs = spark.createDataFrame([(k % 8 or None, f"{a} {b} " * 60) for k, (a, b) in enumerate(pairs)], "doc_id long, text string")
+    vocab = lm.vocabulary(lm.written(lm.counts(docs), "counts"))
+    weights = lm.train(docs, vocab)
+    for a, b in pairs:
+        _, one, two, inner, _ = lm.contexts([f"{a} {b} {a} {b}".encode()], vocab)
+        assert weights.log_p(one, two, inner)[3] > math.log(1 / 40) + 0.2, (a, b)
+
+
 def test_language_model_sums_to_one():
     vocab = lm.Vocabulary([lm.END, b"a", b"b"], np.array([3, 2, 2]), 10, 6)
     weights = lm.Weights.zero()

@@ -202,9 +202,16 @@ def _stretches(texts: list[bytes | None], most: int = 2_000_000) -> Iterator[lis
         yield held
 
 
-def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = 2, one_in: int = 16, docs_per_task: int = 40_000, rate: float = 0.5) -> Weights:
+def share_of(docs: DataFrame, turn: int, shares: int) -> DataFrame:
+    """One of ``shares`` parts of the rows, told apart by a hash of id and text; every row is in one of them."""
+    return docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("lm")), F.lit(shares)) == turn)
+
+
+def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = 2, one_in: int | None = None, docs_per_task: int = 40_000, rate: float = 0.5) -> Weights:
     """Rounds of gradient steps. Each round reads one in ``one_in`` of all texts, other ones each time, in whole.
 
+    Without ``one_in`` the rounds together read every text once.
+
     The tasks grow in number with the documents. A task's changes are sums of its steps; rows are averaged over the
     tasks that changed them. What comes back is the weights' size, whatever the input.
     """
@@ -213,7 +220,7 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = 2, one_in: int =
     context = docs.sparkSession.sparkContext
     for turn in range(rounds):
         sent = context.broadcast((vocab, weights))
-        mine = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(one_in)) == turn).select("text").coalesce(tasks)
+        mine = share_of(docs, turn, one_in or rounds).select("text").coalesce(tasks)
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
             words, begun = sent.value
