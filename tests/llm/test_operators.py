@@ -325,6 +325,22 @@ def test_language_model_learns_from_every_text(spark):
         assert weights.log_p(one, two, inner)[3] > math.log(1 / 40) + 0.2, (a, b)
 
 
+def test_language_model_tells_all_common_words_apart():
+    """Two thousand common words: each has a place of its own, and late ones are preferred by context."""
+    vocab = lm.Vocabulary([f"w{k}".encode() for k in range(1000)] + [lm.END] + [f"w{k}".encode() for k in range(1000, 2000)], np.full(2001, 5), 10_005, 2001)
+    assert sorted(vocab.inner) == [0, *range(2, 2002)] and vocab.others == 0
+    weights = lm.Weights.zero(vocab.inner_size)
+    _, one, two, inner, _ = lm.contexts([b"w1800 w1900 w1801 w1901 " * 50], vocab)
+    for _ in range(5):
+        weights.step(one, two, inner, 0.5)
+    p = weights.log_p(one, two, inner)
+    _, one, two, inner, _ = lm.contexts([b"w1800 w1901 w1801 w1900 " * 50], vocab)
+    assert p[1] > weights.log_p(one, two, inner)[1] + 1
+    n = weights.classes.shape[1] ** weights.depth
+    assert n >= vocab.inner_size
+    assert math.isclose(np.exp(weights.log_p(np.full(n, 1), np.full(n, 2), np.arange(n))).sum(), 1.0, rel_tol=1e-3)
+
+
 def test_language_model_sums_to_one():
     vocab = lm.Vocabulary([lm.END, b"a", b"b"], np.array([3, 2, 2]), 10, 6)
     weights = lm.Weights.zero()

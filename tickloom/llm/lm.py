@@ -2,9 +2,10 @@
 
 Corpus counts cover every training document and give the base score. The model gives the probability of the next token
 from hashed features: the word before, the two before together, the second word before alone, and a constant. Its softmax
-is factored: first the class of a token, then the token within its class. The ``CLASSES ** 2`` commonest tokens have
-classes, one of them the end of a text and one any other word; another word has that one's probability times its share
-of the counts of all other words. Weights come from rounds of gradient steps: each task starts from the weights so far
+is factored: first the class of a token, then its class within that one, and so on to the token. All common words have a
+place, and so have the end of a text and any other word; another word has that one's probability times its share of the
+counts of all other words. A class has as many parts as the vocabulary asks for: three levels of its cube root, or two
+of ``CLASSES`` where those hold it. Weights come from rounds of gradient steps: each task starts from the weights so far
 and steps through its texts, and Spark averages what the tasks have changed.
 
 Counts of common words, at most ``1 / COMMON`` of them whatever the corpus, go to the tasks; the rare words of a text are
@@ -36,7 +37,8 @@ END = b"\n"
 CLASSES = 32
 #: Words with at least this share of all tokens are common.
 COMMON = 1e-6
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 16
+#: Least rows of the weight tables; they follow the vocabulary up to ``MOST_ROWS``, which a worker can hold.
+CLASS_ROWS, WORD_ROWS, MOST_ROWS = 1 << 14, 1 << 16, 1 << 18
 FEATURES = 4
 SMOOTH = 0.1
 #: Suffixes of rare words are told apart by so many slots, as features.
@@ -89,14 +91,16 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         self.ids = _Ids((w, k) for k, w in enumerate(self.words))
-        inside = [k for k, w in enumerate(self.words) if w != END][: CLASSES * CLASSES - 2]
         # 0 is the end, 1 any other word
-        self.inner = np.ones(len(self.words), np.int64)
-        self.inner[inside] = 2 + np.arange(len(inside))
+        self.inner = 2 + np.arange(len(self.words))
+        self.inner[self.ids[END] + 1 :] -= 1
         self.inner[self.ids[END]] = 0
-        known = (self.inner != 1) & (self.n > 0)
-        self.others = self.tokens - int(self.n[known].sum())
-        self.other_words = self.distinct - int(known.sum())
+        self.others = self.tokens - int(self.n.sum())
+        self.other_words = self.distinct - int((self.n > 0).sum())
+
+    @property
+    def inner_size(self) -> int:
+        return len(self.words) + 1
 
     @property
     def base_total(self) -> float:
@@ -117,56 +121,75 @@ def vocabulary(table: DataFrame) -> Vocabulary:
 
 @dataclass
 class Weights:
-    """Rows of log-weights: of classes by feature, and of places in a class by feature and class."""
+    """Rows of log-weights: of classes by feature, and of the parts of a class, on ``depth - 1`` levels, by feature and class."""
 
     classes: np.ndarray
     places: np.ndarray
+    depth: int = 2
 
     @staticmethod
-    def zero() -> Weights:
-        return Weights(np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, CLASSES), np.float32))
-
-    def rows(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashed rows of the features of each token: the word before, the second before, both, a constant."""
+    def zero(tokens: int = CLASSES**2) -> Weights:
+        """Weights for so many different tokens."""
+        depth, width = 2, CLASSES
+        if tokens > width**depth:
+            depth = 3
+            while width**depth < tokens:
+                width += 1
+        size = lambda least, n: min(MOST_ROWS, max(least, 1 << int(n).bit_length()))
+        return Weights(np.zeros((size(CLASS_ROWS, tokens // 4), width), np.float32), np.zeros((size(WORD_ROWS, tokens), width), np.float32), depth)
+
+    def levels(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Table, hashed rows of each token's features, and the part that holds the token, from the first level to the last.
+
+        Features are the word before, the second before, both, a constant.
+        """
         a, b = (one + SUFFIXES + 3).astype(np.uint64), (two + SUFFIXES + 3).astype(np.uint64)
         mixed = np.stack([a * np.uint64(0x9E3779B97F4A7C15), b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1), a * np.uint64(0x165667B19E3779F9) ^ b * np.uint64(0x27D4EB2F165667C5), np.full(len(a), 7, np.uint64)], 1)
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        of_class = (mixed >> np.uint64(40)) % np.uint64(CLASS_ROWS)
-        inside = (mixed + (target // CLASSES).astype(np.uint64)[:, None] * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
-        return of_class.astype(np.int64), ((inside >> np.uint64(40)) % np.uint64(WORD_ROWS)).astype(np.int64)
+        width = self.classes.shape[1]
+        for level in range(self.depth):
+            upper, part = np.divmod(target // width ** (self.depth - 1 - level), width)
+            table, rows = self.classes, mixed
+            if level:
+                table, held = self.places, (upper * self.depth + level - 1).astype(np.uint64)
+                rows = (mixed + held[:, None] * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
+            yield table, ((rows >> np.uint64(40)) % np.uint64(len(table))).astype(np.int64), part
 
     @staticmethod
     def _softmax(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logits less their maximum, and the logarithm of their sum of powers."""
         z = table[rows[:, 0]]
         for k in range(1, FEATURES):
-            z = z + table[rows[:, k]]
+            z += table[rows[:, k]]
         z -= z.max(1, keepdims=True)
         return z, np.log(np.exp(z).sum(1))
 
     def log_p(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm of each token's probability."""
-        out = np.empty(len(target))
+        out = np.zeros(len(target))
         for at in range(0, len(target), BATCH):
             part = slice(at, at + BATCH)
-            t, every = target[part], np.arange(len(target[part]))
-            of_class, inside = self.rows(one[part], two[part], t)
-            z, total = self._softmax(self.classes, of_class)
-            y, among = self._softmax(self.places, inside)
-            out[part] = z[every, t // CLASSES] - total + y[every, t % CLASSES] - among
+            every = np.arange(len(target[part]))
+            for table, rows, wanted in self.levels(one[part], two[part], target[part]):
+                z, total = self._softmax(table, rows)
+                out[part] += z[every, wanted] - total
         return out
 
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One gradient step over a batch of tokens; each row moves by its mean slope over the square root of its uses."""
-        of_class, inside = self.rows(one, two, target)
-        for table, rows, wanted in ((self.classes, of_class, target // CLASSES), (self.places, inside, target % CLASSES)):
+        slopes = []
+        for table, rows, wanted in self.levels(one, two, target):
             z, total = self._softmax(table, rows)
             slope = np.exp(z - total[:, None])
             slope[np.arange(len(wanted)), wanted] -= 1.0
+            slopes.append((table, rows, slope))
+        for table, rows, slope in slopes:
             for k in range(FEATURES):
                 order = np.argsort(rows[:, k], kind="stable")
-                used, starts, n = np.unique(rows[order, k], return_index=True, return_counts=True)
-                table[used] -= (rate * np.add.reduceat(slope[order], starts) / np.sqrt(n)[:, None] / 4).astype(np.float32)
+                used = rows[order, k]
+                starts = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
+                n = np.diff(np.append(starts, len(used)))
+                table[used[starts]] -= np.add.reduceat(slope[order], starts) * (rate / 4 / np.sqrt(n)).astype(np.float32)[:, None]
 
 
 def contexts(texts: list[bytes | None], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
@@ -215,7 +238,8 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = 2, one_in: int |
     The tasks grow in number with the documents. A task's changes are sums of its steps; rows are averaged over the
     tasks that changed them. What comes back is the weights' size, whatever the input.
     """
-    weights = Weights.zero()
+    weights = Weights.zero(vocab.inner_size)
+    class_rows, width = weights.classes.shape
     tasks = 1 + docs.count() // docs_per_task
     context = docs.sparkSession.sparkContext
     for turn in range(rounds):
@@ -224,7 +248,7 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = 2, one_in: int |
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
             words, begun = sent.value
-            now = Weights(begun.classes.copy(), begun.places.copy())
+            now = Weights(begun.classes.copy(), begun.places.copy(), begun.depth)
             for batch in batches:
                 texts = batch.column(0).cast(pa.binary()).to_pylist()
                 for some in _stretches(texts):
@@ -232,7 +256,7 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = 2, one_in: int |
                     for at in range(0, len(inner), BATCH):
                         part = slice(at, at + BATCH)
                         now.step(one[part], two[part], inner[part], rate)
-            for shift, new, old in ((0, now.classes, begun.classes), (CLASS_ROWS, now.places, begun.places)):
+            for shift, new, old in ((0, now.classes, begun.classes), (class_rows, now.places, begun.places)):
                 changed = np.flatnonzero((new != old).any(1))
                 change = (new - old)[changed]
                 rows = [pa.array(changed + shift, pa.int32()), pa.array([r.tobytes() for r in change], pa.binary())]
@@ -242,7 +266,7 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = 2, one_in: int |
             total: dict[int, list] = {}
             for batch in batches:
                 for row, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    entry = total.setdefault(row, [np.zeros(CLASSES, np.float32), 0])
+                    entry = total.setdefault(row, [np.zeros(width, np.float32), 0])
                     entry[0] += np.frombuffer(raw, np.float32)
                     entry[1] += 1
             rows = [pa.array(total.keys(), pa.int32()), pa.array([(s / n).tobytes() for s, n in total.values()], pa.binary())]
@@ -250,9 +274,9 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = 2, one_in: int |
 
         changes = mine.mapInArrow(learn, "row int, change binary").repartition("row").mapInArrow(average, "row int, change binary").toPandas()
         rows = changes["row"].to_numpy()
-        change = np.frombuffer(b"".join(changes["change"]), np.float32).reshape(-1, CLASSES)
-        weights.classes[rows[rows < CLASS_ROWS]] += change[rows < CLASS_ROWS]
-        weights.places[rows[rows >= CLASS_ROWS] - CLASS_ROWS] += change[rows >= CLASS_ROWS]
+        change = np.frombuffer(b"".join(changes["change"]), np.float32).reshape(-1, width)
+        weights.classes[rows[rows < class_rows]] += change[rows < class_rows]
+        weights.places[rows[rows >= class_rows] - class_rows] += change[rows >= class_rows]
         sent.unpersist()
     return weights
 
@@ -270,7 +294,7 @@ def partly_scored(docs: DataFrame, vocab: Vocabulary, weights: Weights) -> DataF
             for some in _stretches(every):
                 token, one, two, inner, size = contexts([every[k] for k in some], words)
                 of = np.repeat(np.arange(len(some)), size)
-                known, other = token >= 0, inner == 1
+                known = token >= 0
                 counted = np.where(known, common[np.maximum(token, 0)], 0.0)
                 met = known & (words.n[np.maximum(token, 0)] > 0)
                 model_p = model.log_p(one, two, inner) / math.log(10)
@@ -281,11 +305,11 @@ def partly_scored(docs: DataFrame, vocab: Vocabulary, weights: Weights) -> DataF
                 ]
                 columns = [
                     pa.array([all_ids[k] for k in some], pa.int64()), pa.array(size), pa.array(total(met).astype(np.int64)), pa.array(total(counted)),
-                    pa.array(total(other).astype(np.int64)), pa.array(total(np.where(other & known, counted, 0.0))), pa.array(total(model_p)), pa.array(rare, rare_type),
+                    pa.array(total(~known).astype(np.int64)), pa.array(total(model_p)), pa.array(rare, rare_type),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "common", "counted", "others", "counted_others", "model", "rare"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "common", "counted", "others", "model", "rare"])
 
-    schema = "doc_id long, n_tokens long, common long, counted double, others long, counted_others double, model double, rare array<struct<word:binary,n:int>>"
+    schema = "doc_id long, n_tokens long, common long, counted double, others long, model double, rare array<struct<word:binary,n:int>>"
     return docs.select("doc_id", "text").mapInArrow(score, schema)
 
 
@@ -302,7 +326,7 @@ def scored(docs: DataFrame, table: DataFrame, vocab: Vocabulary, weights: Weight
     joined = parts.drop("rare").join(sums, "row", "left")
     counted_rare = F.coalesce("counted_rare", F.lit(0.0))
     base = F.col("counted") + counted_rare - F.col("n_tokens") * vocab.base_total
-    score = F.col("model") + F.col("counted_others") + counted_rare - F.col("others") * vocab.other_total
+    score = F.col("model") + counted_rare - F.col("others") * vocab.other_total
     return joined.select("doc_id", "n_tokens", (F.col("common") + F.coalesce("known", F.lit(0))).alias("n_known"), base.alias("base_score"), score.alias("score"))
 
 
