@@ -451,6 +451,31 @@ def test_fingerprints(spark, sf, texts):
     assert np.mean([r["near_edited"] > r["near_next"] for r in found.values()]) > 0.6
 
 
+def near_and_far(spark, near):
+    """Two hundred texts of their own and a hundred of one group: exact copies, or near copies with one word each changed."""
+    own = [(k, " ".join(f"u{(k * 7 + j) % 500}" for j in range(60))) for k in range(200)]
+    group = [" ".join(f"g{j}" if j != k % 60 or not near else f"new{k}" for j in range(60)) for k in range(100)]
+    return spark.createDataFrame(own + list(enumerate(group, 200)), "doc_id long, text string")
+
+
+def test_copies_keep_their_terms(spark):
+    """A third of all rows are copies: their terms stay in the lexicon, or near copies are hashed over all terms."""
+    for near in (False, True):
+        docs = near_and_far(spark, near)
+        terms = docs.where("doc_id = 200").select(fingerprint.term_hashes(fingerprint.F.col("text"))).first()[0]
+        assert near or not set(fingerprint.lexicon(docs, low=0)) & set(terms)  # one distinct text: below two, so in no band
+        rows_, _ = fingerprint.fingerprints(docs)
+        like = rows_.where("doc_id between 200 and 298").select(fingerprint.likeness(fingerprint.F.col("own"), fingerprint.F.col("next")).alias("x")).toPandas().x
+        assert len(like) == 99 and like.mean() > 0.8
+
+
+def test_copies_do_not_leave_the_band(spark):
+    base = [(k, f"shared{k % 10} only{k}") for k in range(100)]
+    docs = spark.createDataFrame(base + [(100 + k, "shared1 copy") for k in range(80)], "doc_id long, text string")
+    word = docs.select(fingerprint.term_hashes(fingerprint.F.lit("shared1"))).first()[0][0]
+    assert word in fingerprint.lexicon(docs)
+
+
 def test_fingerprints_odd_texts(spark, odd, none):
     found, _ = fingerprint.fingerprints(odd)
     found = found.collect()

@@ -5,10 +5,12 @@ slips. A text's distinct lexicon terms, sorted, are hashed once for each of seve
 that a changed word spoils the hashes of a few subsets only, and the share of equal hashes says how alike two texts are.
 
 Only DataFrame expressions are used. The lexicon's size has a bound whatever the corpus: a term in a share of at least
-``LOW`` of all documents is one of at most ``1 / LOW`` times the mean number of distinct terms of a document.
+``LOW`` of all texts is one of at most ``1 / LOW`` times the mean number of distinct terms of a text. Frequencies count
+distinct texts, so that copies push no term out of the band. Near copies can: a text of which the lexicon holds fewer
+than one term in ``FEW`` is hashed over all its terms.
 
-Edge cases: null is an empty text. A text without a lexicon term has the hash of the text as its fingerprint, so it is
-like its exact copies only. The document that follows is the next in order of id, then text; null ids come first, and
+Edge cases: null is an empty text. A text without a term has the hash of the text as its fingerprint, so it is like its
+exact copies only. The document that follows is the next in order of id, then text; null ids come first, and
 after the last document comes the first, which may be the document itself. An empty table has no fingerprints.
 """
 
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import documents, text_of
 
-#: Document frequency band, as shares of all documents.
+#: Document frequency band, as shares of all distinct texts.
 LOW, HIGH = 0.001, 0.2
+#: One term in how many must be in the lexicon.
+FEW = 20
 #: Number of lexicon subsets, and one in how many terms a subset holds.
 SUBSETS, ONE_IN = 32, 128
 SLOTS = 8192
@@ -35,9 +39,11 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[int]:
-    """Hashes of the terms in the band, counted over all documents."""
-    total = docs.count()
-    counts = docs.select(F.explode(term_hashes(text_of())).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """Hashes of the terms in the band, counted over all distinct texts."""
+    keys = docs.select(F.xxhash64(text_of()).alias("key"))
+    total = keys.distinct().count()
+    texts = docs.select(F.xxhash64(text_of()).alias("key"), term_hashes(text_of()).alias("terms")).dropDuplicates(["key"])
+    counts = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     return sorted(r["term"] for r in counts.where((F.col("n") >= max(2.0, low * total)) & (F.col("n") <= high * total)).select("term").collect())
 
 
@@ -52,7 +58,11 @@ def in_lexicon(terms: list[int]):
 
 def hashes(text: Column, known) -> Column:
     """One hash for each lexicon subset; null for subsets without a term of the text."""
-    terms = F.sort_array(F.filter(term_hashes(text), known))
+
+    def told_apart(terms: Column) -> Column:
+        return F.transform(F.array(F.filter(terms, known)), lambda held: F.when(FEW * F.size(held) >= F.size(terms), held).otherwise(terms))[0]
+
+    terms = F.transform(F.array(F.sort_array(term_hashes(text))), told_apart)[0]
 
     def of_subset(terms: Column, k: int) -> Column:
         held = F.filter(terms, lambda h: F.pmod(F.xxhash64(h, F.lit(k)), F.lit(ONE_IN)) == 0)
