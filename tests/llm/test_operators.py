@@ -476,6 +476,15 @@ def test_copies_do_not_leave_the_band(spark):
     assert word in fingerprint.lexicon(docs)
 
 
+def test_every_text_with_a_term_has_a_hash(spark):
+    """Short texts: different ones have different fingerprints, equal ones are wholly alike."""
+    docs = spark.createDataFrame([(k, f"a{k // 2 % 100} b{k // 2 % 90} c{k // 2 % 80}") for k in range(400)], "doc_id long, text string")
+    found = fingerprint.fingerprints(docs)[0].where("doc_id % 2 = 0")
+    found = found.select("text", "own", fingerprint.likeness(fingerprint.F.col("own"), fingerprint.F.col("next")).alias("same")).collect()
+    assert all(r["same"] == 1.0 and any(r["own"]) for r in found)
+    assert len({tuple(r["own"]) for r in found}) == len({r["text"] for r in found})
+
+
 def test_fingerprints_odd_texts(spark, odd, none):
     found, _ = fingerprint.fingerprints(odd)
     found = found.collect()

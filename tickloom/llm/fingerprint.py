@@ -3,6 +3,8 @@
 Terms whose inverse document frequency lies in a band make up the lexicon: neither the commonest words nor rare ones and
 slips. A text's distinct lexicon terms, sorted, are hashed once for each of several random subsets of the lexicon, so
 that a changed word spoils the hashes of a few subsets only, and the share of equal hashes says how alike two texts are.
+Most subsets are small, for long texts and large changes; the others grow up to the whole lexicon, so that every text
+with a term has a hash.
 
 Only DataFrame expressions are used. The lexicon's size has a bound whatever the corpus: a term in a share of at least
 ``LOW`` of all texts is one of at most ``1 / LOW`` times the mean number of distinct terms of a text. Frequencies count
@@ -27,8 +29,8 @@ from tickloom.llm.common import documents, text_of
 LOW, HIGH = 0.001, 0.2
 #: One term in how many must be in the lexicon.
 FEW = 20
-#: Number of lexicon subsets, and one in how many terms a subset holds.
-SUBSETS, ONE_IN = 32, 128
+#: One in how many terms each subset of the lexicon holds.
+ONE_IN = [128] * 32 + [32, 8, 2, 1]
 SLOTS = 8192
 
 
@@ -65,10 +67,10 @@ def hashes(text: Column, known) -> Column:
     terms = F.transform(F.array(F.sort_array(term_hashes(text))), told_apart)[0]
 
     def of_subset(terms: Column, k: int) -> Column:
-        held = F.filter(terms, lambda h: F.pmod(F.xxhash64(h, F.lit(k)), F.lit(ONE_IN)) == 0)
+        held = F.filter(terms, lambda h: F.pmod(F.xxhash64(h, F.lit(k)), F.lit(ONE_IN[k])) == 0)
         return F.transform(F.array(held), lambda t: F.when(F.size(t) > 0, F.xxhash64(t)))[0]
 
-    subsets = F.transform(F.array(terms), lambda t: F.when(F.size(t) > 0, F.array(*[of_subset(t, k) for k in range(SUBSETS)])))[0]
+    subsets = F.transform(F.array(terms), lambda t: F.when(F.size(t) > 0, F.array(*[of_subset(t, k) for k in range(len(ONE_IN))])))[0]
     return F.coalesce(subsets, F.array(F.xxhash64(F.lit("text"), text)))
 
 
