@@ -517,3 +517,17 @@ def test_stages_keep_columns_and_odd_rows(spark, odd, none, sf):
         assert stage(spark, none, sf).count() == 0
     kept = stages.near_duplicates(spark, odd, sf).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1, 2, 3, 4, 5, 7, 8, 9] and sum(r["doc_id"] is None for r in kept) == 2
+
+
+def test_near_duplicates_judges_rows(spark, sf):
+    """Rows that share an id or have none: each is judged by its own text, and links lead through rows without an id."""
+    text = lambda word, *changed: " ".join(f"{word}{k}" if k not in changed else f"x{k}" for k in range(100))
+    a, b, c = text("a"), text("b"), text("c")
+    rows_ = [(1, a), (1, b), (2, b), (3, c), (3, text("d")), (None, text("e")), (None, text("e")), (None, c), (9, text("d")), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    kept = stages.near_duplicates(spark, docs, sf).collect()
+    want = [(1, a), (1, b), (3, c), (3, text("d")), (None, text("e")), (4, None), (4, "")]
+    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+    chain = [(5, text("f")), (None, text("f", 50)), (9, text("f", 50, 70, 90))]
+    found = ngram_join.components_of(spark.createDataFrame(chain, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {5}

@@ -97,11 +97,11 @@ def prefix_length(n: np.ndarray | int):
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 8000, tokens: int = 4_000_000) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and shingles of documents, some thousands at a time."""
+    """Keys with ids, and shingles, of documents, some thousands at a time."""
     hashes, ids, sets, n = _Hashes(), [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            ids.append(doc_id)
+        for key, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+            ids.append((key, doc_id))
             sets.append(shingles(text, hashes))
             n += len(sets[-1])
             if len(ids) >= rows or n >= tokens:
@@ -116,7 +116,7 @@ def _table(**columns: tuple[object, pa.DataType]) -> pa.RecordBatch:
 
 
 def described(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, n, name, bits`` of every document, and the sorted tokens that are common.
+    """``key, doc_id, n, name, bits`` of every document, and the sorted tokens that are common.
 
     A token in a share ``OFTEN`` of all documents reaches that share in some stretch of documents that a task reads, and
     is found there. The stretches' findings are summed over all documents, and tokens whose sum stays under half of that
@@ -129,19 +129,19 @@ def described(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             token, n = np.unique(every, return_counts=True)
             common = n >= max(3, OFTEN * len(sets))
             yield _table(
-                doc_id=(ids, pa.int64()), n=([len(s) for s in sets], pa.int64()), name=([class_of(s) for s in sets], pa.int64()),
+                key=([k for k, _ in ids], pa.int64()), doc_id=([i for _, i in ids], pa.int64()), n=([len(s) for s in sets], pa.int64()), name=([class_of(s) for s in sets], pa.int64()),
                 bits=([bitmap(s) for s in sets], pa.binary()),
             )
             yield _table(
-                doc_id=(token[common].view(np.int64), pa.int64()), n=(-n[common], pa.int64()), name=([0] * int(common.sum()), pa.int64()),
+                key=(token[common].view(np.int64), pa.int64()), doc_id=([None] * int(common.sum()), pa.int64()), n=(-n[common], pa.int64()), name=([0] * int(common.sum()), pa.int64()),
                 bits=([None] * int(common.sum()), pa.binary()),
             )
 
-    both = written(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, name long, bits binary"), "shingle-classes")
+    both = written(docs.select("key", "doc_id", "text").mapInArrow(describe, "key long, doc_id long, n long, name long, bits binary"), "shingle-classes")
     rows = both.where("n >= 0")
     total = rows.count()
-    found = both.where("n < 0").groupBy("doc_id").agg((-F.sum("n")).alias("n")).where(F.col("n") >= max(3.0, OFTEN * total / 2))
-    common = np.sort(found.select("doc_id").toPandas()["doc_id"].to_numpy(np.int64).view(np.uint64))
+    found = both.where("n < 0").groupBy("key").agg((-F.sum("n")).alias("n")).where(F.col("n") >= max(3.0, OFTEN * total / 2))
+    common = np.sort(found.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
     return rows, common
 
 
@@ -164,7 +164,7 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
             if tokens:
                 yield _table(token=(np.concatenate(tokens).view(np.int64), pa.int64()), name=(np.concatenate(names), pa.int64()))
 
-    return docs.select("doc_id", "text").mapInArrow(first_tokens, "token long, name long")
+    return docs.select("key", "doc_id", "text").mapInArrow(first_tokens, "token long, name long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,9 +435,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), part in rows.groupby(["cluster", "i", "j"], sort=False):
             seen: dict[int, tuple[np.ndarray, int]] = {}
             for name, block, text in zip(part["name"], part["block"], part["text"]):
-                tokens = shingles(text, hashes)
-                if class_of(tokens) == name:  # an id may have several texts
-                    seen[name] = (tokens, int(block == j))
+                seen[name] = (shingles(text, hashes), int(block == j))
             side = None if i == j else np.array([s for _, s in seen.values()])
             if len(seen) < 2 or side is not None and side.min() == side.max():
                 continue
@@ -451,13 +449,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _table(a=(x[keep], pa.int64()), b=(y[keep], pa.int64()))
 
 
-def components_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def rooted(docs: DataFrame) -> DataFrame:
+    """``key, doc_id, n_shingles, root`` for every row of a written table ``key, doc_id, text``, whose keys are unique.
+
+    Rows of a component, and only those, have the same root; it is null without shingles.
+    """
     rows, common = described(docs)
     # one document stands for a class
     classes = written(
-        rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "shingle-sets"
+        rows.where("n > 0").groupBy("name").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits")), "shingle-sets"
     )
     grouped = groups(prefixes(docs, common))
     member = grouped.join(classes.select("name", "n", "bits"), "name").withColumn("blocks", F.ceil(F.col("members") / GROUP_ROWS))
@@ -465,18 +465,24 @@ def components_of(docs: DataFrame) -> DataFrame:
     possible = in_blocks(member, "gid", "blocks", "name").select(*keys, "block", "name", "n", "bits").repartition(*keys).sortWithinPartitions(*keys)
     near = written(possible.mapInArrow(_possible, "a long, b long"), "shingle-candidates")
     cluster = components(near, "candidate-clusters").select(F.col("node").alias("name"), F.col("component").alias("cluster"))
-    of_class = cluster.join(classes.select("name", "doc_id", "n"), "name")
+    of_class = cluster.join(classes.select("name", "key", "n"), "name")
     size = of_class.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER_TOKENS).alias("blocks"))
     placed = written(of_class.join(size, "cluster"), "shingle-clusters")
     # clustered classes grow with the documents, so neither side is ever sent to all tasks
-    texts = placed.where("doc_id is not null").join(docs.hint("merge"), "doc_id")
+    texts = placed.join(docs.select("key", "text").hint("merge"), "key")
     keys = ["cluster", "i", "j"]
     sent = in_blocks(texts, "cluster", "blocks", "name").select(*keys, "block", "name", "text").repartition(*keys).sortWithinPartitions(*keys)
     links = written(sent.mapInArrow(_linked, "a long, b long"), "shingle-links")
     component = components(links, "shingle-components").select(F.col("node").alias("name"), F.col("component"))
-    joined = rows.select("doc_id", "n", "name").join(component, "name", "left")
+    joined = rows.select("key", "doc_id", "n", "name").join(component, "name", "left")
     root = F.when(F.col("n") > 0, F.coalesce("component", "name"))
-    named = joined.select("doc_id", F.col("n").alias("n_shingles"), root.alias("root"))
+    return joined.select("key", "doc_id", F.col("n").alias("n_shingles"), root.alias("root"))
+
+
+def components_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+    docs = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = rooted(written(docs, "shingle-rows"))
     smallest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(smallest, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 

@@ -27,16 +27,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; rows without an id stay.
+    """One row of each group of near copies, the one with the smallest id, then text; rows without an id come last.
 
-    Of rows that repeat an id one stays, the one whose text sorts first; null sorts before all.
+    Rows are judged each by its own text, whatever ids they repeat; those without words are copies of nothing and stay.
     """
-    parts = near.components_of(docs)
-    stay = parts.where("doc_id is not null and component_id = doc_id").select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    found = rows.where("id is not null").join(stay.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    first = found.groupBy("id").agg(F.min_by("row", F.struct(F.col("row.text").isNotNull(), F.col("row.text"))).alias("row"))
-    return first.select("row.*").union(docs.where("doc_id is null"))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "near-rows")
+    doc_id, text = F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text")
+    roots = written(near.rooted(rows.select("key", doc_id, text)).where("root is not null").select("key", "root"), "near-roots")
+    several = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    group = written(roots.join(several, "root"), "near-groups")
+    ranked = group.join(rows.hint("merge"), "key").select("root", F.struct(doc_id.isNull().alias("last"), doc_id, text, "key").alias("rank"))
+    first = ranked.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.key")
+    copies = group.select("key").join(first, "key", "left_anti")
+    return rows.join(copies.hint("merge"), "key", "left_anti").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
