@@ -423,6 +423,21 @@ def test_secret_network_learns():
     assert (p[y[300:] > 0] >= network.threshold).mean() >= 0.95 and (p[y[300:] == 0] >= network.threshold).mean() < 0.1
 
 
+def test_secret_sample_holds_copies_once(spark):
+    texts_ = ["token = 'copied0copied0copied0'"] * 500 + [f"token = 'value{k}value{k}value{k}' and plainword{k}" for k in range(60)]
+    found = secrets.labelled(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), 40, 5, 0)
+    assert len(found) == len(found.drop_duplicates()) and found.label.value_counts().to_dict() == {0: 40, 1: 40}
+
+
+def test_secret_threshold_keeps_the_recall():
+    assert secrets.candidates("a short1 keyonlyletters 12345678") == [(9, 23), (24, 32)]
+    codes = secrets.coded([("", f"abc{k}defgh", "") for k in range(100)])
+    y = np.array([1.0] * 10 + [0.0] * 90)
+    network = secrets.Network.fresh(1)
+    network.calibrate(codes, y, 0.95)  # scores of real findings lie below one half
+    assert (network.probability(codes)[:10] >= network.threshold).mean() >= 0.95 and network.threshold < 0.5 and 0 < network.precision <= 1
+
+
 def test_secrets_odd_texts(spark, odd, none):
     found = odd.select("doc_id", "text", secrets.spans_of(None, secrets.F.col("text")).alias("spans"), secrets.redacted(None, secrets.F.col("text")).alias("clean")).collect()
     by_id = {r["doc_id"]: r for r in found if r["text"]}
