@@ -11,6 +11,7 @@ from tickloom.llm.lm import op6_lm
 from tickloom.llm.ngram_join import op3_ngram_join
 from tickloom.llm.packing import op5_packing
 from tickloom.llm.quality import op2_quality
+from tickloom.llm.runs import op13_runs
 from tickloom.llm.secrets import op8_secrets
 from tickloom.llm.toxicity import op4_toxicity
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_fingerprint": op9_fingerprint,
     "op10_language": op10_language,
+    "op13_runs": op13_runs,
 }
 ORACLES: dict[str, str] = {
     "op2_quality": quality.ORACLE,
