@@ -64,13 +64,21 @@ def test_counts_are_exact(monkeypatch, sample, words, slots):
 
     monkeypatch.setattr(phrases, "SHARD_WORDS", words)
     monkeypatch.setattr(phrases, "SLOTS", slots)
+    monkeypatch.setattr(phrases, "BLOCK", min(slots, phrases.BLOCK))
     whole = plain_counts(sample, 4)
     rows = [(lang or "und", text or "") for lang, text in sample]
     batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[k : k + 50])], names=["lang", "text"]) for k in range(0, len(rows), 50)])
     total = sum(f for (_, phrase), f in whole.items() if " " not in phrase)
-    union = np.zeros(max(1, slots // 64), np.uint64)
-    for batch in phrases.locally_frequent(batches(), 30, total, 4):
-        union[batch["place"].to_numpy()] |= batch["bits"].to_numpy().view(np.uint64)
+    union, told = None, 0
+    for sizes in (range(1, 3), range(3, 5)):
+        mined = list(phrases.locally_frequent(batches(), 30, total, sizes, union))
+        told += sum(len(p.as_py()) // 2 for batch in mined for p in batch["places"])
+        union = np.zeros(slots // 64, np.uint64) if union is None else union
+        for batch in phrases.summed(iter(mined), 30):
+            for block, bits in zip(batch["block"].to_pylist(), batch["bits"].to_pylist()):
+                union[block * phrases.BLOCK // 64 : (block + 1) * phrases.BLOCK // 64] |= np.frombuffer(bits, "<u8")
+    kept = int(np.bitwise_count(union).sum())
+    assert words > 10_000 or slots < 100 or kept < told  # the bound rules out
     counts = collections.Counter()
     for batch in phrases.counted(batches(), union, 4):
         for lang, phrase, size, f in zip(*(batch[c].to_pylist() for c in ("lang", "phrase", "size", "f"))):

@@ -1,12 +1,15 @@
 """Phrase collocation mining, by SON partitioning.
 
 ``frequent`` counts every word and phrase that occurs at least ``support`` times in a language. The documents are cut into shards
-of up to ``SHARD_WORDS`` words. First every shard is mined completely, level by level, at the support lowered to its share
-of all words, ``ceil(support * shard / all)``: a phrase that reaches the support everywhere reaches that in at least one shard. The union of what
-the shards found is kept as a bit map of hashes, ``SLOTS`` bits whatever the corpus. Then every shard counts all its phrases in the
+of up to ``SHARD_WORDS`` words. First every shard is mined completely at the support lowered to its share
+of all words, ``ceil(support * shard / all)``: a phrase that reaches the support everywhere reaches that in at least one shard. Where it does not, it
+has at most one less, so the counts that the shards found and this bound for the others rule out most of what is frequent in few shards only.
+The union of what is left is kept as a bit map of hashes, ``SLOTS`` bits whatever the corpus. Words and pairs are mined first;
+longer phrases are made of pairs in the union only. Then every shard counts all its phrases in the
 union and the counts are summed by phrase. A phrase that shares a slot with a candidate is counted as well, and falls to the
-support like any other, so counts are exact and whole. With more shards than the support, a shard's support is one and the map
-prunes by words and phrases of no shard only; results stay exact, the shuffle grows towards the shards' distinct phrases.
+support like any other, so counts are exact and whole. With more shards than the support, a shard's support is one: shards then tell of
+every pair, and the sums alone rule out. Results stay exact; once a corpus has many more distinct pairs than slots, the map rules out little
+and the last shuffle grows towards the shards' distinct phrases.
 
 ``collocations`` scores phrases of two words or more: the cut after k words compares the phrase's count with those of both
 sides, and the weakest cut counts. Phrases almost always seen inside a longer one are dropped.
@@ -39,6 +42,9 @@ SHARD_WORDS = 1 << 22
 #: Small inputs are cut into as many shards at most, so that a shard's support stays above one.
 FEWEST_SHARDS = 14
 SLOTS = 1 << 26
+BLOCK = 1 << 14
+#: Words whose counts a task adds up before they are shuffled, and phrases that it holds for that.
+COUNT_WORDS, HELD = 1 << 24, 1 << 20
 #: Words that very many phrases begin or end with are looked up in as many copies.
 COPIES = 16
 
@@ -84,7 +90,10 @@ class Shard:
         self.size += int((ids >= 0).sum())
 
     def ids(self) -> np.ndarray:
-        return np.concatenate(self.documents)
+        """All word numbers; no document can be added any more."""
+        whole = np.concatenate(self.documents)
+        self.documents.clear()
+        return whole
 
     def hashes(self) -> np.ndarray:
         """A hash of each language and word."""
@@ -101,25 +110,50 @@ def slots(hashes: np.ndarray, ids: np.ndarray, first: np.ndarray, size: int) ->
     return value & np.uint64(SLOTS - 1)
 
 
-def levels(ids: np.ndarray, longest: int, keep: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``size, first positions, counts`` of the distinct phrases that ``keep`` keeps; of a kept phrase all parts are kept."""
-    part = ids.astype(np.int64)
-    at = np.flatnonzero(part >= 0)
-    key = part[at]
+def in_steps(positions: np.ndarray, step: int = 1 << 18) -> Iterator[np.ndarray]:
+    return (positions[k : k + step] for k in range(0, len(positions), step))
+
+
+def levels(
+    ids: np.ndarray, longest: int, least: int, wanted: Callable[[int, np.ndarray], np.ndarray] | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``size, first positions, counts`` of the distinct phrases that occur ``least`` times or more.
+
+    ``wanted`` tells by size and position which occurrences count. Of a phrase that is found all parts are, so a phrase of the next size is one found
+    and another found a word later; ``part`` holds at each position the number of the phrase that begins there.
+    """
+    part = ids
+    at = np.flatnonzero(part >= 0).astype(np.int32)
+    parts = 0
     for size in range(1, longest + 1):
+        if wanted is not None and len(at):
+            at = np.concatenate([some[wanted(size, some)] for some in in_steps(at)])
         if not len(at):
             return
-        _, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        first = at[first]
-        kept = keep(size, first, counts)
-        yield size, first[kept], counts[kept]
-        number = np.where(kept, np.cumsum(kept) - 1, -1)
-        part = np.full(len(ids), -1, np.int64)
-        part[at] = number[inverse]
-        del inverse
-        # both a phrase and the one that begins a word later are kept: together they are one word longer
-        at = np.flatnonzero((part[:-1] >= 0) & (part[1:] >= 0))
-        key = part[at] * (int(kept.sum()) + 1) + part[at + 1]
+        key = part[at].astype(np.int64)
+        if size > 1:
+            key *= parts
+            key += part[at + 1]
+        ordered = np.sort(key)
+        begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        counts = np.diff(np.append(begins, len(ordered)))
+        often = counts >= least
+        known, counts = ordered[begins[often]], counts[often]
+        del ordered, begins, often
+        if not len(known):
+            return
+        part = np.full(len(ids), -1, np.int32)
+        first = np.empty(len(known), np.int32)
+        for back in reversed(range(0, len(at), 1 << 18)):  # from the end, so that the first occurrence is what stays
+            some, keys = at[back : back + (1 << 18)], key[back : back + (1 << 18)]
+            number = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            found = known[number] == keys
+            part[some[found]] = number[found]
+            first[number[found][::-1]] = some[found][::-1]
+        parts = len(known)
+        del key
+        yield size, first, counts
+        at = np.flatnonzero((part[:-1] >= 0) & (part[1:] >= 0)).astype(np.int32)
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
@@ -134,38 +168,89 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
         yield shard
 
 
-def locally_frequent(batches: Iterator[pa.RecordBatch], support: int, total: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Words of the bit map, ``place, bits``, with the phrases that are frequent in a shard."""
+def locally_frequent(
+    batches: Iterator[pa.RecordBatch], support: int, total: int, sizes: range, union: np.ndarray | None = None
+) -> Iterator[pa.RecordBatch]:
+    """``block, places, above, unseen``: the phrases that reach a shard's support, by their slots, for every block of slots.
+
+    ``above`` is by how much a count is above ``unseen``, what a phrase may have that the shard does not tell of: one less than
+    its support. Counts end at ``support``. Phrases shorter than ``sizes`` are told of in the map ``union`` already.
+    """
+    kind = np.min_scalar_type(support)
     for shard in shards(batches):
         least = max(1, -(-support * shard.size // total))
         ids, hashes = shard.ids(), shard.hashes()
-        found = [slots(hashes, ids, first, size) for size, first, _ in levels(ids, longest, lambda size, first, counts: counts >= least)]
-        places, where = np.unique(np.concatenate(found) >> np.uint64(6), return_inverse=True)
-        bits = np.zeros(len(places), np.uint64)
-        np.bitwise_or.at(bits, where, np.uint64(1) << (np.concatenate(found) & np.uint64(63)))
-        yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), pa.array(bits.view(np.int64))], names=["place", "bits"])
+        wanted = None if union is None else (lambda size, at: in_map(union, slots(hashes, ids, at, size)) if size < sizes.start else np.ones(len(at), bool))
+        found, above = [], []
+        for size, first, counts in levels(ids, sizes.stop - 1, least if union is None else 1, wanted):
+            if size in sizes:
+                often = counts >= least
+                found.append(slots(hashes, ids, first[often], size))
+                above.append(counts[often] - (least - 1))
+        slot = np.concatenate([*found, np.empty(0, np.uint64)]).astype(np.int64)
+        value = np.concatenate([*above, np.empty(0, np.int64)])
+        del ids, hashes, found, above
+        order = np.argsort(slot)
+        slot, value = slot[order], value[order]
+        starts = np.flatnonzero(np.diff(slot, prepend=-1))
+        value = np.minimum(np.add.reduceat(value, starts), support).astype(kind) if len(starts) else value.astype(kind)
+        slot = slot[starts]
+        cuts = np.searchsorted(slot, np.arange(0, SLOTS + 1, BLOCK))
+        places = (slot % BLOCK).astype("<u2")
+        pieces = [(places[i:j].tobytes(), value[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+        columns = [np.arange(len(pieces), dtype=np.int32), *map(list, zip(*pieces)), np.full(len(pieces), least - 1, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "places", "above", "unseen"])
+
+
+def summed(batches: Iterator[pa.RecordBatch], support: int) -> Iterator[pa.RecordBatch]:
+    """``block, bits``: slots whose phrases can reach the support. All shards' rows of a block are in one task, which holds sums only."""
+    kind = np.min_scalar_type(support)
+    sums: dict[int, np.ndarray] = {}
+    unseen: dict[int, int] = {}
+    for batch in batches:
+        for block, places, above, slack in zip(*(batch.column(c).to_pylist() for c in ("block", "places", "above", "unseen"))):
+            held = sums.setdefault(block, np.zeros(BLOCK, np.int64))
+            held[np.frombuffer(places, "<u2")] += np.frombuffer(above, kind)
+            unseen[block] = unseen.get(block, 0) + slack
+    for block, held in sums.items():
+        bits = np.packbits((held > 0) & (held >= support - unseen[block]), bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], names=["block", "bits"])
+
+
+def in_map(union: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (union[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
 def counted(batches: Iterator[pa.RecordBatch], union: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """``lang, phrase, size, f``: a shard's counts of all its phrases in the union."""
+    """``lang, phrase, size, f``: counts of all phrases in the union, added up over the shards of a task while ``HELD`` phrases hold them."""
+    held: dict[tuple[str, int], dict[bytes, int]] = {}
     for shard in shards(batches):
         ids, hashes = shard.ids(), shard.hashes()
 
-        def candidates(size: int, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-            slot = slots(hashes, ids, first, size)
-            return (union[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        def candidates(size: int, at: np.ndarray) -> np.ndarray:
+            return in_map(union, slots(hashes, ids, at, size))
 
-        for size, first, counts in levels(ids, longest, candidates):
-            for begin in range(0, len(first), 1 << 16):
-                some = first[begin : begin + (1 << 16)]
-                names = [b" ".join([shard.words[w] for w in phrase]) for phrase in ids[some[:, None] + np.arange(size)].tolist()]
-                columns = [
-                    pa.array([shard.langs[w] for w in ids[some].tolist()], pa.string()),
-                    pa.array(names, pa.binary()).cast(pa.string()),
-                    pa.array(np.full(len(some), size, np.int32)),
-                    pa.array(counts[begin : begin + (1 << 16)].astype(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "size", "f"])
+        for size, first, counts in levels(ids, longest, 1, candidates):
+            for some, n in zip(in_steps(first, 1 << 16), in_steps(counts, 1 << 16)):
+                for phrase, f in zip(ids[some[:, None] + np.arange(size)].tolist(), n.tolist()):
+                    key = shard.langs[phrase[0]], size
+                    if key not in held:
+                        held[key] = {}
+                    name = b" ".join([shard.words[w] for w in phrase])
+                    held[key][name] = held[key].get(name, 0) + f
+        del ids, hashes, shard
+        if sum(map(len, held.values())) > HELD:
+            yield from _emitted(held)
+            held = {}
+    yield from _emitted(held)
+
+
+def _emitted(held: dict[tuple[str, int], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    for (lang, size), found in held.items():
+        names, counts = pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())
+        for at in range(0, len(names), 1 << 16):
+            n = min(1 << 16, len(names) - at)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), n), names.slice(at, n), pa.repeat(pa.scalar(size, pa.int32()), n), counts.slice(at, n)], names=["lang", "phrase", "size", "f"])
 
 
 def totals(docs: DataFrame) -> DataFrame:
@@ -184,12 +269,26 @@ def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = MAX_WORDS,
         total = totals(docs).agg(F.sum("n")).first()[0] or 0
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), text_of().alias("text"))
     rows = rows.coalesce(max(-(-total // SHARD_WORDS), FEWEST_SHARDS))  # shards do not cross tasks
-    mined = rows.mapInArrow(lambda batches: locally_frequent(batches, support, max(total, 1), longest), "place long, bits long")
-    union = np.zeros(SLOTS // 64, np.uint64)
-    found = mined.groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most SLOTS / 64 rows
-    union[found["place"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+
+    def mined(sizes: range, before: np.ndarray | None) -> np.ndarray:
+        """The union of what the shards found, as a bit map; it has the bits of ``before``."""
+        known = None if before is None else spark.sparkContext.broadcast(before)  # SLOTS bits
+        told = rows.mapInArrow(
+            lambda batches: locally_frequent(batches, support, max(total, 1), sizes, None if known is None else known.value),
+            "block int, places binary, above binary, unseen long",
+        )
+        maps = told.repartition("block").mapInArrow(lambda batches: summed(batches, support), "block int, bits binary").toArrow()  # SLOTS bits
+        union = np.zeros(SLOTS // 64, np.uint64) if before is None else before.copy()
+        for block, bits in zip(maps["block"].to_pylist(), maps["bits"].to_pylist()):
+            union[block * BLOCK // 64 : (block + 1) * BLOCK // 64] |= np.frombuffer(bits, "<u8")
+        return union
+
+    union = mined(range(1, min(longest, 2) + 1), None)
+    if longest > 2:
+        union = mined(range(3, longest + 1), union)
     shared = spark.sparkContext.broadcast(union)  # SLOTS bits
-    counts = rows.mapInArrow(lambda batches: counted(batches, shared.value, longest), "lang string, phrase string, size int, f long")
+    few = rows.coalesce(max(-(-total // COUNT_WORDS), FEWEST_SHARDS))  # the fewer tasks, the fewer counts of one phrase
+    counts = few.mapInArrow(lambda batches: counted(batches, shared.value, longest), "lang string, phrase string, size int, f long")
     return counts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
 
 
