@@ -23,6 +23,7 @@ from tickloom.session import scratch_path
 from tickloom.sources import logs as LG
 from tickloom.sources.files import read_csv_loose, read_json_document, read_table, write_table
 
+LISTED = ["AB", "CD.SA", "EF"]
 D1, D2, D3 = dt.date(2026, 1, 1), dt.date(2026, 1, 2), dt.date(2026, 1, 3)
 
 
@@ -31,13 +32,13 @@ def rows(df, *order):
 
 
 def test_sequences(spark):
-    data = [("A", D1 + dt.timedelta(days=i), float(i), 10.0 * i) for i in range(1, 11)]
+    data = [("A", D1 + dt.timedelta(days=3 * i), 7.0 - i, 0.5 * i * i) for i in range(9)]
     df = spark.createDataFrame(data, "symbol string, date date, x double, t double")
-    out = Q.sequences(df, ["x"], "t", 3).orderBy("sample").collect()
-    assert len(out) == 6
-    assert [r[0] for r in out[0].sequence] == [1.0, 2.0, 3.0] and out[0].y == 40.0
-    same_row = Q.sequences(df, ["x"], "t", 3, target_offset=0).orderBy("sample").collect()
-    assert len(same_row) == 8 and same_row[0].y == 30.0
+    out = Q.sequences(df, ["x"], "t", 4).orderBy("sample").collect()
+    assert len(out) == 9 - 4 - 1
+    assert [r[0] for r in out[1].sequence] == [6.0, 5.0, 4.0, 3.0] and out[1].y == 0.5 * 25
+    same_row = Q.sequences(df, ["x"], "t", 4, target_offset=0).orderBy("sample").collect()
+    assert len(same_row) == 6 and same_row[0].y == 4.5
     assert Q.enough_samples(Q.sequences(df, ["x"], "t", 5)).count() == 0
 
 
@@ -49,8 +50,8 @@ def test_scoring_window_is_padded_on_the_left(spark):
 @pytest.mark.parametrize(
     "scores, want",
     [
-        ([("positive", 0.85), ("neutral", 0.10), ("negative", 0.05)], 0.80),
-        ([("Negative", 0.90)], -0.90),
+        ([("neutral", 0.3), ("positive", 0.6), ("negative", 0.1)], 0.5),
+        ([("Negative", 0.25), ("other", 0.75)], -0.25),
         ([], 0.0),
         (None, 0.0),
     ],
@@ -216,12 +217,12 @@ def test_files(spark):
 
 
 def test_ticker_rules(spark):
-    ok = spark.createDataFrame([(s,) for s in schemas.SYMBOLS], "symbol string")
-    asked = spark.createDataFrame([(" aapl ",), ("FALSO123",)], "raw string").select(X.ticker("raw").alias("symbol"))
+    ok = spark.createDataFrame([(s,) for s in (*LISTED, schemas.INDEX_SYMBOL)], "symbol string")
+    asked = spark.createDataFrame([(" ab ",), ("NONE9",)], "raw string").select(X.ticker("raw").alias("symbol"))
     assert C.allowed(asked.withColumn("n", F.lit(1)), ok).count() == 1
-    assert rows(C.allowed(asked, ok)) == [("AAPL",)]
-    assert rows(C.rejected(asked, ok)) == [("FALSO123",)]
-    assert L.without_index(ok).count() == len(schemas.SYMBOLS) - 1
+    assert rows(C.allowed(asked, ok)) == [("AB",)]
+    assert rows(C.rejected(asked, ok)) == [("NONE9",)]
+    assert L.without_index(ok).count() == len(LISTED)
 
 
 def test_upsert_is_idempotent_and_new_wins(spark):

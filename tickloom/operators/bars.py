@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.scalar import log_ratio
 from tickloom.operators.series import attach, windowed
@@ -102,8 +103,10 @@ def join_macro(bars: DataFrame, returns: DataFrame) -> DataFrame:
     """Left join on the date, no match gives 0.
 
     ``returns`` has one row per calendar date (``macro_wide`` groups by it), so its size is bounded by the
-    calendar whatever the data: a century is about a megabyte.  That is why it may be broadcast.
+    calendar whatever the data: a century is about a megabyte.  That is why it may be broadcast; any other type of ``date`` is an error.
     """
+    if not isinstance(returns.schema["date"].dataType, T.DateType):
+        raise TypeError("macro returns need a column date of type DATE")
     names = list(MACRO_SERIES.values())
     return bars.join(F.broadcast(returns), "date", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in names})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import finite
@@ -54,8 +54,8 @@ def complete(columns: Sequence[str]) -> Column:
     return ok
 
 
-def keep_complete(df: DataFrame, columns: Sequence[str], target: str, training: bool, key: str = "symbol") -> DataFrame:
-    """Rows without NULL features.
+def keep_complete(df: DataFrame, columns: Sequence[str], target: str, training: bool, key: str = "symbol", bounded: bool = False) -> DataFrame:
+    """Rows without NULL features. ``bounded`` says that a key has few rows.
 
     Training also needs the target.  At inference a symbol with no complete row at all
     keeps its rows, with 0 for NULL; whether it has one is an aggregate per key that combines before the shuffle.
@@ -63,9 +63,12 @@ def keep_complete(df: DataFrame, columns: Sequence[str], target: str, training:
     if training:
         return df.na.drop(subset=[*columns, target])
     marked = df.withColumn("_ok", complete(columns))
-    any_ok = marked.groupBy(key).agg(F.max("_ok").alias("_any"))
+    if bounded:
+        judged = marked.withColumn("_any", F.max("_ok").over(Window.partitionBy(key)))
+    else:
+        judged = attach(marked, marked.groupBy(key).agg(F.max("_ok").alias("_any")), key)
     filled = {c: F.when(F.col("_any"), F.col(c)).otherwise(F.coalesce(c, F.lit(0.0))) for c in [*columns, target]}
-    return attach(marked, any_ok, key).filter(F.col("_ok") | ~F.col("_any")).withColumns(filled).drop("_ok", "_any")
+    return judged.filter(F.col("_ok") | ~F.col("_any")).withColumns(filled).drop("_ok", "_any")
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

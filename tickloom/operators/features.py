@@ -11,8 +11,9 @@ from tickloom.functions import rolling as R
 from tickloom.functions.scalar import calendar_features, ratio
 from tickloom.operators.bars import join_macro, join_sentiment, macro_range, macro_returns
 from tickloom.operators.columns import keep_complete
-from tickloom.operators.indicators import oscillators
-from tickloom.operators.series import BLOCK_ROWS, exclusive_prefix, number_rows, windowed
+from tickloom.operators.indicators import oscillator_columns, oscillator_state
+from tickloom.operators.recurrences import with_state, with_state_bounded
+from tickloom.operators.series import BLOCK_ROWS, windowed
 from tickloom.schemas import MACRO_SERIES, TARGET
 
 LAGS = [1, 2, 3, 5]
@@ -47,11 +48,13 @@ def raw_features(
     groups: Sequence[str] = FULL,
     rsi_flat: float | None = 100.0,
     size: int = BLOCK_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """(symbol, date, features of ``groups``, target) before incomplete rows are dropped.
 
-    All indicators over a bounded frame share the blocks of one shuffle.  What depends on the whole past comes from
-    narrow passes: on-balance volume from close and volume, RSI and MACD from the close.
+    What depends on the whole past (on-balance volume, RSI, MACD) comes with the numbering of the rows, from one pass over them;
+    all indicators over a bounded frame then share the blocks of one shuffle.  ``bounded`` says that every symbol has few
+    rows, such as a tail, so that a symbol is a block by itself.
     """
     wanted = columns_of(groups)
     joined = bars
@@ -62,14 +65,13 @@ def raw_features(
         no_news = {"Sentiment_Score": F.lit(0.0)}
         joined = join_sentiment(joined, sentiment) if sentiment is not None else joined.withColumns(no_news)
 
-    joined = number_rows(joined, counted=bars)  # both joins keep the rows of the bars
     before = 50
-    size = max(size, before)
-    rsi, macd = "rsi" in groups, "macd" in groups or "macd_hist" in groups
+    obv = "OBV" in wanted or "OBV_ROC_5" in wanted
+    state = oscillator_state(14 if "rsi" in groups else None, (12, 26, 9) if {"macd", "macd_hist"} & set(groups) else None, obv)
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         # One layer of columns per dependency on another window: each layer is one pass over the sorted block.
-        first = {"Log_Return": R.log_return("close", w), "_signed": R.signed_volume(w), "_tr": R.true_range(w)}
+        first = {"Log_Return": R.log_return("close", w), "_tr": R.true_range(w)}
         second = {
             TARGET: F.lead("Log_Return", 1).over(w),
             **R.lags("Log_Return", LAGS, w),
@@ -80,38 +82,26 @@ def raw_features(
             "Volume_Shock": ratio("volume", R.sma("volume", 10, w)),
             "Volume_ROC_5": R.pct_change("volume", 5, w),
             "ATR_14": R.sma("_tr", 14, w),
-            "_signed5": F.sum("_signed").over(w.rowsBetween(-4, 0)),
-            "_obv": F.sum(F.when(F.col("_own"), F.col("_signed"))).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         }
+        if obv:
+            second["OBV_ROC_5"] = R.pct_change("OBV", 5, w)
         third = {
             "Distancia_SMA_20": ratio("close", "_sma20") - 1,
             "Distancia_SMA_50": ratio("close", "_sma50") - 1,
             "Bollinger_Width": ratio(4 * F.col("_std20"), "_sma20"),
             "ATR_Pct": ratio("ATR_14", "close"),
             **calendar_features("date"),
+            **oscillator_columns(state, rsi_flat),
         }
         return df.withColumns(first).withColumns(second).withColumns(third)
 
-    out = windowed(joined, build, before=before, after=1, size=size, keep=("_block", "_rn"))
-    if rsi or macd:  # these depend on the whole past; they are averaged over close alone and come back by position
-        narrow = number_rows(bars.select("symbol", "date", "close"))
-        averaged = oscillators(narrow, 14 if rsi else None, (12, 26, 9) if macd else None, rsi_flat)
-        averaged = averaged.withColumn("_block", F.floor(F.col("_rn") / size)).drop("date", "close")
-        out = out.join(averaged, ["symbol", "_block", "_rn"])
-    if "OBV" in wanted or "OBV_ROC_5" in wanted:
-        out = out.join(_obv_carry(bars, size), ["symbol", "_block"])
-        out = out.withColumn("OBV", F.col("_obv") + F.coalesce("_carry", F.lit(0)))
-        out = out.withColumn("OBV_ROC_5", F.when(F.col("_rn") >= 5, ratio("OBV", F.col("OBV") - F.col("_signed5")) - 1))
+    if bounded:
+        out = build(with_state_bounded(joined, state), Window.partitionBy("symbol").orderBy("date"))
+    else:
+        out = windowed(with_state(joined, state), build, before=before, after=1, size=max(size, before))
     return out.select("symbol", "date", *wanted, TARGET)
 
 
-def _obv_carry(bars: DataFrame, size: int) -> DataFrame:
-    narrow = bars.select("symbol", "date", "close", "volume")
-    signed = windowed(narrow, lambda d, w: d.withColumn("_s", R.signed_volume(w)), before=1, size=size, keep=("_block",))
-    totals = signed.groupBy("symbol", "_block").agg(F.sum("_s").alias("_carry"))
-    return exclusive_prefix(totals, {"_carry": F.sum})
-
-
 def features(
     bars: DataFrame,
     macro_returns: DataFrame | None = None,
@@ -119,10 +109,14 @@ def features(
     training: bool = True,
     groups: Sequence[str] = FULL,
     size: int = BLOCK_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Feature table; training mode drops rows without a target, inference mode keeps the latest row."""
-    raw = raw_features(bars, macro_returns, sentiment, groups, size=size)
-    return keep_complete(raw, columns_of(groups), TARGET, training)
+    """Feature table; training mode drops rows without a target, inference mode keeps the latest row.
+
+    ``bounded`` says that a symbol has few rows, such as a tail.
+    """
+    raw = raw_features(bars, macro_returns, sentiment, groups, size=size, bounded=bounded)
+    return keep_complete(raw, columns_of(groups), TARGET, training, bounded=bounded)
 
 
 def eda_features(bars: DataFrame) -> DataFrame:

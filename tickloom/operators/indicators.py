@@ -7,11 +7,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions import rolling as R
 from tickloom.functions.scalar import ratio
 from tickloom.operators.averages import with_averages
-from tickloom.operators.series import attach, forward_fill, number_rows, running_max, running_sum, windowed
+from tickloom.operators.recurrences import State, with_state
+from tickloom.operators.series import attach, forward_fill, running_max, windowed
 
 TRADING_DAYS = 252
 
@@ -27,13 +29,15 @@ def log_returns(bars: DataFrame, column: str = "close", out: str = "log_return")
 
 def ema(bars: DataFrame, spans: Sequence[int], column: str = "close") -> DataFrame:
     """One ``ema_<span>`` column per span. A NULL value is an error: ``ffill`` first."""
-    return with_averages(bars, {f"ema_{s}": (column, s) for s in spans})
+    if not _daily(bars):
+        return with_averages(bars, {f"ema_{s}": (column, s) for s in spans})
+    same = {f"ema_{s}": F.col(column).cast("double") for s in spans if s == 1}
+    state = State({f"ema_{s}": (column, s) for s in spans if s > 1})
+    return with_state(bars, state).drop("_rn").withColumns(same).select(*bars.columns, *[f"ema_{s}" for s in spans])
 
 
-def rsi_moves(w: WindowSpec) -> dict[str, Column]:
-    """Rise and fall of the close, 0 on the first row."""
-    delta = F.col("close") - F.lag("close", 1).over(w)
-    return {"_gain": F.when(delta > 0, delta).otherwise(0.0), "_loss": F.when(delta < 0, -delta).otherwise(0.0)}
+def _daily(bars: DataFrame, order: str = "date") -> bool:
+    return isinstance(bars.schema[order].dataType, T.DateType)
 
 
 def rsi_value(flat: float | None = 100.0) -> Column:
@@ -45,25 +49,28 @@ def rsi_value(flat: float | None = 100.0) -> Column:
     )
 
 
-def oscillators(bars: DataFrame, rsi_span: int | None = 14, macd_spans: tuple[int, int, int] | None = (12, 26, 9), flat: float | None = 100.0) -> DataFrame:
-    """RSI and MACD columns, each over the whole history of its series; the averages of both share their passes."""
-    averages: dict[str, tuple[str, int]] = {}
-    out = bars
-    if rsi_span:
-        out = windowed(out, lambda d, w: d.withColumns(rsi_moves(w)), before=1, keep=("_rn",))
-        averages |= {"_g": ("_gain", rsi_span), "_l": ("_loss", rsi_span)}
-    elif "_rn" not in out.columns:
-        out = number_rows(out)
-    if macd_spans:
-        averages |= {"_fast": ("close", macd_spans[0]), "_slow": ("close", macd_spans[1])}
-    out = with_averages(out, averages)
-    if rsi_span:
-        out = out.withColumn("RSI_14", rsi_value(flat))
-    if macd_spans:
-        out = with_averages(out.withColumn("MACD_Line", F.col("_fast") - F.col("_slow")), {"MACD_Signal": ("MACD_Line", macd_spans[2])})
-        out = out.withColumn("MACD_Histogram", F.col("MACD_Line") - F.col("MACD_Signal"))
-    helpers = {"_gain", "_loss", *averages} | ({"_rn"} if "_rn" not in bars.columns else set())
-    return out.drop(*helpers)
+def oscillator_state(rsi_span: int | None = 14, macd_spans: tuple[int, int, int] | None = (12, 26, 9), obv: bool = False) -> State:
+    """What RSI, MACD and on-balance volume carry from day to day."""
+    if macd_spans is None:
+        return State(moves=rsi_span, obv=obv)
+    fast, slow, signal = macd_spans
+    return State({"_fast": ("close", fast), "_slow": ("close", slow)}, ("MACD_Signal", "_fast", "_slow", signal), rsi_span, obv)
+
+
+def oscillator_columns(state: State, flat: float | None = 100.0) -> dict[str, Column]:
+    """RSI and MACD columns from the values of the state."""
+    line = F.col("_fast") - F.col("_slow")
+    macd_columns = {"MACD_Line": line, "MACD_Histogram": line - F.col("MACD_Signal")} if state.signal else {}
+    return macd_columns | ({"RSI_14": rsi_value(flat)} if state.moves else {})
+
+
+def oscillators(
+    bars: DataFrame, rsi_span: int | None = 14, macd_spans: tuple[int, int, int] | None = (12, 26, 9), flat: float | None = 100.0, keep: Sequence[str] = ()
+) -> DataFrame:
+    """RSI and MACD columns, each over the whole history of its daily series, in one pass over the bars."""
+    state = oscillator_state(rsi_span, macd_spans)
+    out = with_state(bars, state).withColumns(oscillator_columns(state, flat))
+    return out.drop(*({"_g", "_l", "_fast", "_slow", "_rn"} - set(keep)))
 
 
 def rsi(bars: DataFrame, span: int = 14) -> DataFrame:
@@ -96,7 +103,7 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 def obv(bars: DataFrame) -> DataFrame:
     """On-balance volume: the running sum of signed volume."""
-    return running_sum(bars, R.signed_volume, "obv", before=1)
+    return with_state(bars, State(obv=True)).withColumnRenamed("OBV", "obv").drop("_rn")
 
 
 def drawdown(bars: DataFrame) -> DataFrame:
@@ -146,4 +153,4 @@ def regime_flags(bars: DataFrame) -> DataFrame:
             }
         )
 
-    return windowed(oscillators(number_rows(bars)), columns, before=10)
+    return windowed(oscillators(bars, keep=["_rn"]), columns, before=10)

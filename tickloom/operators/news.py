@@ -22,6 +22,46 @@ def scorer(classify: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Col
     return F.pandas_udf(classify, SCORES_TYPE)
 
 
+def tolerant_scorer(classify: Callable[[pd.Series], pd.Series], attempts: int = 2) -> Callable[[Column], Column]:
+    """The same for a classifier that can fail: a struct of ``scores`` and ``failed`` for each headline.
+
+    A batch that fails ``attempts`` times is cut in halves, down to the headlines that fail by themselves; only these are
+    without scores. So the result does not depend on how Spark cuts the batches. A null is not asked and has not failed.
+    """
+
+    def answered(headlines: pd.Series) -> list[tuple[list | None, bool]]:
+        for _ in range(attempts):
+            try:
+                scores = list(classify(headlines.reset_index(drop=True)))
+                if len(scores) != len(headlines):
+                    raise ValueError("one answer for each headline expected")
+                return [(s, False) for s in scores]
+            except Exception:  # noqa: BLE001 - whatever the classifier raises, the job goes on
+                continue
+        if len(headlines) == 1:
+            return [(None, True)]
+        half = len(headlines) // 2
+        return answered(headlines.iloc[:half]) + answered(headlines.iloc[half:])
+
+    def batch(headlines: pd.Series) -> pd.DataFrame:
+        known = headlines.notna().to_numpy()
+        answers = iter(answered(headlines[known]) if known.any() else [])
+        rows = [next(answers) if k else (None, False) for k in known]
+        return pd.DataFrame({"scores": [s for s, _ in rows], "failed": [f for _, f in rows]})
+
+    return F.pandas_udf(batch, f"struct<scores:{SCORES_TYPE},failed:boolean>")
+
+
+def daily_classified(news: DataFrame, classify: Callable[[pd.Series], pd.Series], zone: str = ZONE) -> DataFrame:
+    """Per symbol and day: headlines asked, those that failed (they count as 0), and the mean polarity."""
+    asked = news.filter(F.coalesce(F.col("headline"), F.lit("")) != "")
+    answers = asked.select("symbol", epoch_local_date("published", zone).alias("date"), tolerant_scorer(classify)(F.col("headline")).alias("_a"))
+    scores = answers.select("symbol", "date", F.col("_a.failed").alias("failed"), polarity("_a.scores").alias("sentiment_score"))
+    return scores.groupBy("symbol", "date").agg(
+        F.count("*").alias("headlines"), F.count_if("failed").alias("failed"), F.avg("sentiment_score").alias("sentiment_score")
+    )
+
+
 def scored(news: DataFrame, zone: str = ZONE) -> DataFrame:
     """One polarity per headline that is not empty, on its local date."""
     return news.filter(F.coalesce(F.col("headline"), F.lit("")) != "").select(

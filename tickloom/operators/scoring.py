@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import null_if_nan, price_after, variation_pct
 from tickloom.operators import columns as C
 from tickloom.operators import features as FT
 from tickloom.operators.selection import last_quote, tail
-from tickloom.operators.sequences import minmax_apply, minmax_inverse, scoring_window
+from tickloom.operators.sequences import minmax_fit, minmax_original, minmax_value
 from tickloom.schemas import FEATURES, TARGET
+from tickloom.session import written
+from tickloom.sources.logs import append_job, build_log
 
 HISTORY_ROWS = 250
 Scorer = Callable[[DataFrame], DataFrame]
@@ -41,8 +43,8 @@ def forecast(df: DataFrame, price: str = "last_price", log_return: str = "predic
     )
 
 
-def prediction_output(df: DataFrame) -> DataFrame:
-    """Output fields: two decimals for prices, four for the change, NULL where the prediction is not a number."""
+def prediction_output(df: DataFrame, *keep: str) -> DataFrame:
+    """Output fields, and those to ``keep``: two decimals for prices, four for the change, NULL where the prediction is not a number."""
     return df.select(
         "symbol",
         F.round("last_price", 2).alias("current_price"),
@@ -50,34 +52,78 @@ def prediction_output(df: DataFrame) -> DataFrame:
         F.round(null_if_nan("predicted_variation"), 4).alias("variation_pct"),
         F.date_format("last_date", "yyyy-MM-dd").alias("timestamp"),
         F.lit(None).cast("string").alias("message"),
+        *keep,
     )
 
 
-def predict_batch(
-    history: DataFrame,
+def recent_history(history: DataFrame, rows: int = HISTORY_ROWS) -> DataFrame:
+    """The last ``rows`` rows of each symbol, written: what a forecast needs of a history."""
+    return written(tail(history, rows), "recent")
+
+
+def scored_batch(
+    recent: DataFrame,
     macro_returns: DataFrame | None,
     sentiment: DataFrame | None,
     scorer: Scorer,
     length: int,
     scaler: DataFrame | None = None,
     features: Sequence[str] = FEATURES,
-    rows: int = HISTORY_ROWS,
 ) -> DataFrame:
-    """Forecast fields per symbol plus ``scaler_applied``.
+    """One row per symbol: last quote, ``predicted_return``, the forecast fields, ``scaler_applied``, and the newest value of each feature, unscaled.
 
-    ``scorer`` gets (symbol, date, sequence) and adds ``prediction``: a fitted MLlib model or any expression.
+    ``recent`` is what ``recent_history`` keeps, so that a symbol is one window. ``scorer`` gets (symbol, date, sequence) and adds
+    ``prediction``: a fitted MLlib model or any expression.
     """
-    recent = tail(history, rows)
-    table = FT.features(recent, macro_returns, sentiment, training=False)
+    table = FT.features(recent, macro_returns, sentiment, training=False, bounded=True)
     aligned = C.scrub(C.align_zero(table, features), features)
+    newest = F.max_by(F.struct(*features), "date").alias("_newest")
     applied = scaler is not None and scaler_matches(scaler, [*features, TARGET])
+    values = {c: minmax_value(c) if applied else F.col(c) for c in features}
+    # a symbol's rows, and what it has of the scaler, meet in one aggregate per symbol
+    sequence = F.sort_array(F.collect_list(F.struct("date", F.array(*values.values()).alias("x"))))
+    kept = aligned.join(scaler, "symbol") if applied else aligned
+    windows = kept.groupBy("symbol").agg(F.max("date").alias("date"), newest, sequence.alias("_r"))
+    padding = F.array_repeat(F.array(*[F.lit(0.0)] * len(features)), F.lit(length) - F.size("_r"))
+    last = F.slice("_r", F.greatest(F.size("_r") - length + 1, F.lit(1)), length)
+    scored = scorer(windows.select("symbol", "date", "_newest", F.concat(padding, F.transform(last, lambda r: r["x"])).alias("sequence")))
     if applied:
-        aligned = minmax_apply(aligned, scaler, features)
-    # From here on there is one row per symbol.
-    scored = scorer(scoring_window(aligned, features, length))
-    if applied:
-        scored = minmax_inverse(scored, scaler, "prediction", TARGET, "predicted_return")
+        scored = scored.join(scaler.select("symbol", f"{TARGET}_min", f"{TARGET}_max"), "symbol")
+        scored = scored.withColumn("predicted_return", minmax_original("prediction", TARGET))
     else:
         scored = scored.withColumn("predicted_return", F.col("prediction"))
-    quoted = scored.drop("date").join(last_quote(history), "symbol")
-    return prediction_output(forecast(quoted)).withColumn("scaler_applied", F.lit(applied))
+    quoted = scored.select("symbol", "predicted_return", "_newest").join(last_quote(recent), "symbol")
+    return forecast(quoted).withColumn("scaler_applied", F.lit(applied)).select("*", "_newest.*").drop("_newest")
+
+
+def batch_scaler(recent: DataFrame, macro_returns: DataFrame | None, sentiment: DataFrame | None, features: Sequence[str] = FEATURES) -> DataFrame:
+    """A scaler of the features and the target over the complete rows of the recent history."""
+    table = FT.features(recent, macro_returns, sentiment, training=False, bounded=True)
+    return written(minmax_fit(table, [*features, TARGET]), "scaler")
+
+
+def predict_batch(history: DataFrame, *args, **options) -> DataFrame:
+    """Forecast fields per symbol plus ``scaler_applied``, from whole histories; the other arguments are those of ``scored_batch``."""
+    return with_output(scored_batch(recent_history(history), *args, **options))
+
+
+def with_output(scored: DataFrame) -> DataFrame:
+    return prediction_output(scored, "scaler_applied")
+
+
+def log_records(scored: DataFrame, features: Sequence[str] = FEATURES, ts: str = "ts") -> DataFrame:
+    """Log records of scored rows, which also have the time ``ts`` of the job."""
+    out = prediction_output(scored, ts, *features)
+    fields = F.struct("symbol", "current_price", "predicted_price_tomorrow", "variation_pct", "timestamp", "message")
+    return build_log(out.withColumn("prediction_output", fields), features, ts)
+
+
+def predict_and_log(recent: DataFrame, macro_returns: DataFrame | None, sentiment: DataFrame | None, scorer: Scorer, length: int, path: str, job: str, ts: Column, **options) -> DataFrame:
+    """Score all symbols and append one log record each to ``path``; the job ``job`` may run again. The forecasts come back.
+
+    The scores are written before, so that what is logged and what is returned are the same rows.
+    """
+    features = options.get("features", FEATURES)
+    scored = written(scored_batch(recent, macro_returns, sentiment, scorer, length, **options).withColumn("ts", ts), "scored")
+    append_job(log_records(scored, features), path, job)
+    return with_output(scored)

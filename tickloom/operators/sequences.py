@@ -25,9 +25,19 @@ def _width(c: str) -> Column:
     return F.when(width == 0, 1.0).otherwise(width)
 
 
+def minmax_value(column: str) -> Column:
+    """A column scaled to [0, 1] by the minimum and maximum beside it; a constant column becomes 0."""
+    return (F.col(column) - F.col(f"{column}_min")) / _width(column)
+
+
+def minmax_original(scaled: str, column: str) -> Column:
+    """The value of ``column`` that ``scaled`` stands for."""
+    return F.col(scaled) * _width(column) + F.col(f"{column}_min")
+
+
 def minmax_apply(df: DataFrame, stats: DataFrame, columns: Sequence[str], key: str = "symbol") -> DataFrame:
     """Scale to [0, 1]; a constant column becomes 0."""
-    scaled = {c: (F.col(c) - F.col(f"{c}_min")) / _width(c) for c in columns}
+    scaled = {c: minmax_value(c) for c in columns}
     needed = stats.select(key, *[f"{c}_{s}" for c in columns for s in ("min", "max")])
     return attach(df, needed, key).withColumns(scaled).drop(*[c for c in needed.columns if c != key])
 
@@ -37,7 +47,7 @@ def minmax_inverse(df: DataFrame, stats: DataFrame, scaled: str, column: str, ou
     needed = stats.select(key, f"{column}_min", f"{column}_max")
     return (
         attach(df, needed, key)
-        .withColumn(out, F.col(scaled) * _width(column) + F.col(f"{column}_min"))
+        .withColumn(out, minmax_original(scaled, column))
         .drop(f"{column}_min", f"{column}_max")
     )
 
@@ -160,32 +170,27 @@ TRIAL_DEFAULTS = {"learning_rate": "0.01", "n_estimators": "100", "max_depth": "
 TRIALS = 5
 
 
-def grid(space: Mapping[str, Mapping[str, Sequence[str]]] = SEARCH_SPACE) -> list[dict[str, str]]:
-    """All settings of a search space, defaults filled in."""
-    settings: list[dict[str, str]] = []
-    for model, axes in space.items():
-        partial = [{"model_type": model, **TRIAL_DEFAULTS}]
-        for name, values in axes.items():
-            partial = [{**p, name: v} for p in partial for v in values]
-        settings.extend(partial)
-    return settings
-
-
 def sample_trials(
     symbols: DataFrame,
     n: int = TRIALS,
     seed: int = 42,
     space: Mapping[str, Mapping[str, Sequence[str]]] = SEARCH_SPACE,
 ) -> DataFrame:
-    """``n`` settings per symbol, drawn by the order of a hash of seed, symbol and setting: repeatable on any cluster."""
-    settings = grid(space)
-    names = list(settings[0])
-    choices = F.array(*[F.struct(*[F.lit(s[k]).alias(k) for k in names]) for s in settings])
-    keyed = F.transform(
-        choices,
-        lambda s: F.struct(F.md5(F.concat_ws("-", F.lit(str(seed)), "symbol", *[s[k] for k in names])).alias("h"), s.alias("s")),
-    )
-    drawn = F.slice(F.sort_array(keyed), 1, n)
-    return symbols.select("symbol", F.posexplode(drawn).alias("_i", "_d")).select(
-        "symbol", (F.col("_i") + 1).alias("trial"), *[F.col(f"_d.s.{k}").alias(k) for k in names]
-    )
+    """``n`` settings per symbol: an algorithm is drawn first, each as likely, then a value of each of its parameters; defaults fill the rest.
+
+    A draw takes the choice with the smallest hash of seed, symbol, trial, name and choice, so it is repeatable on any cluster.
+    """
+
+    def drawn(name: str, choices: Sequence[str]) -> Column:
+        hashed = [F.struct(F.md5(F.concat_ws("-", F.lit(str(seed)), "symbol", "trial", F.lit(name), F.lit(c))).alias("h"), F.lit(c).alias("c")) for c in choices]
+        return F.array_min(F.array(*hashed))["c"]
+
+    names = ["model_type", *TRIAL_DEFAULTS]
+    trials = symbols.select("symbol", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("trial")).withColumn("model_type", drawn("model_type", list(space)))
+    for name, default in TRIAL_DEFAULTS.items():
+        value = F.lit(default)
+        for model, axes in space.items():
+            if name in axes:
+                value = F.when(F.col("model_type") == model, drawn(name, axes[name])).otherwise(value)
+        trials = trials.withColumn(name, value)
+    return trials.select("symbol", "trial", *names)

@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.session import written
+
 BLOCK_ROWS = 2048
-CHUNK_DAYS = 2048  # days per numbering chunk of a daily series; a series ordered by timestamps is chunked by day
+CHUNK_DAYS = 2048  # days per numbering chunk of a daily series
 PREFIX_FAN = 1024
 
 Keys = str | Sequence[str]
@@ -37,12 +39,15 @@ def number_rows(
 ) -> DataFrame:
     """Add the 0-based position of each row in its series, ordered by a date or timestamp unique per key.
 
-    Sorting happens per (key, calendar chunk); the running total runs over one row per
+    A daily series is sorted per (key, calendar chunk); the running total runs over one row per
     chunk, whose number is bounded by the calendar and not by the row count.  ``counted`` may name a
     cheaper table with the same keys and order values to count, such as the input of a join that keeps its rows.
+    Timestamps are cut by ``number_by_range``, as a single day may hold any number of them.
     """
     keys = _keys(key)
-    days = chunk_days or (CHUNK_DAYS if isinstance(df.schema[order].dataType, T.DateType) else 1)
+    if chunk_days is None and not isinstance(df.schema[order].dataType, T.DateType):
+        return number_by_range(df, keys, order, out)
+    days = chunk_days or CHUNK_DAYS
 
     def with_chunk(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_chunk", F.floor(F.unix_date(F.to_date(order)) / days))
@@ -67,6 +72,23 @@ def number_rows(
     )
 
 
+def number_by_range(df: DataFrame, key: Keys, order: str, out: str = "_rn") -> DataFrame:
+    """``number_rows`` for any order: rows are cut at sampled quantiles of (key, order) into as many parts as a shuffle has.
+
+    No task holds more than its share of a key, however close together its rows are. The parts are fixed by a written table, so that
+    a lost executor cannot cut them anew; a position is that in the part and the key's rows in the parts before.
+    """
+    keys = _keys(key)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = starts.select(*keys, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order))
+    numbered = placed.withColumn("_local", local).join(starts, [*keys, "_part"])
+    return numbered.withColumn(out, F.col("_start") + F.col("_local") - 1).drop("_part", "_local", "_start")
+
+
 def attach(
     df: DataFrame, stats: DataFrame, key: Keys = "symbol", spread: Keys = "date", how: str = "inner", salts: int | None = None
 ) -> DataFrame:

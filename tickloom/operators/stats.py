@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
 from tickloom.functions.scalar import ratio
 from tickloom.operators.ordered import quantiles
+from tickloom.operators.recurrences import State, with_state
 from tickloom.operators.series import BLOCK_ROWS, attach, number_rows, windowed
 from tickloom.schemas import OHLCV
 
@@ -136,22 +137,29 @@ def returns_aligned(returns: DataFrame, symbols: Sequence[str], c: str = "log_re
     return named.groupBy("date").pivot("symbol", list(symbols)).agg(F.first(c)).na.drop()
 
 
-def acf(returns: DataFrame, c: str = "log_return", nlags: int = 40) -> DataFrame:
+def acf(series: DataFrame, c: str = "log_return", nlags: int = 40, value: Callable[[WindowSpec], Column] | None = None) -> DataFrame:
     """Autocorrelation (symbol, lag, acf, band) for lags 0..nlags with the 95 % Bartlett band.
 
-    Lagged products are formed inside blocks and summed before the shuffle, so a long series is
-    spread over tasks and only nlags + 1 sums per symbol move.
+    The rows are read and numbered once: each block sums the raw products of values ``k`` rows apart and the values in them,
+    and the mean, known only at the end, is taken out of the sums algebraically. ``value`` computes the series from
+    its rows instead of the column ``c``, by a window that reaches one row back. A row without a value takes part in no pair.
     """
-    mean = returns.groupBy("symbol").agg(F.avg(c).alias("_mean"), F.count(c).alias("_n"))
-    centred = attach(returns, mean).select("symbol", "date", (F.col(c) - F.col("_mean")).alias("_d"), "_n")
-
-    names = [f"_p{k}" for k in range(nlags + 1)]
-
-    def build(df, w):
-        return df.withColumns({f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in range(nlags + 1)})
-
-    one = windowed(centred, build, before=nlags).groupBy("symbol").agg(F.max("_n").alias("_n"), *[F.sum(n).alias(n) for n in names])
-    sums = one.select("symbol", "_n", F.posexplode(F.array(*names)).alias("lag", "_s"))
+    reach = nlags if value is None else nlags + 1
+
+    def build(df: DataFrame, w: WindowSpec) -> DataFrame:
+        x = df.withColumn("_x", F.col(c).cast("double") if value is None else value(w))
+        pairs = {}
+        for k in range(nlags + 1):
+            earlier = F.lag("_x", k).over(w) if k else F.col("_x")
+            pairs |= {f"_p{k}": F.col("_x") * earlier, f"_v{k}": F.col("_x") + earlier}
+        return x.withColumns(pairs)
+
+    columns = ["symbol", "date", *([c] if value is None else [n for n in series.columns if n not in ("symbol", "date")])]
+    rows = windowed(with_state(series.select(*columns), State()), build, before=reach)
+    sums = [a for k in range(nlags + 1) for a in (F.sum(f"_p{k}").alias(f"_p{k}"), F.sum(f"_v{k}").alias(f"_v{k}"), F.count(f"_p{k}").alias(f"_n{k}"))]
+    one = rows.groupBy("symbol").agg(*sums).withColumn("_m", ratio("_v0", 2 * F.col("_n0")))
+    centred = [F.col(f"_p{k}") - F.col("_m") * F.col(f"_v{k}") + F.col(f"_n{k}") * F.col("_m") * F.col("_m") for k in range(nlags + 1)]
+    sums = one.select("symbol", F.col("_n0").alias("_n"), F.posexplode(F.array(*centred)).alias("lag", "_s")).filter("_n > 0")
     group = Window.partitionBy("symbol")
     zero = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(group)
     out = sums.withColumn("acf", ratio("_s", zero))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +10,12 @@ from tickloom.operators import bars as B
 from tickloom.operators import features as FT
 from tickloom.operators.columns import null_counts
 from tickloom.operators.news import daily_sentiment, scored
+from tickloom.operators.series import attach
+from tickloom.operators.transformer import FeatureTable
 from tickloom.plans import sql as S
 from tickloom.plans.registry import query, show
 from tickloom.schemas import FEATURES, TARGET
+from tickloom.session import written
 from tickloom.sources import views
 
 # Digits per column: prices keep fewer, so that the last bits of a double never decide.
@@ -47,29 +51,41 @@ def features_full(spark: SparkSession, sf: str) -> DataFrame:
     return show(FT.features(*inputs(spark, sf)), "symbol", "date", **digits(ALL))
 
 
+WITH_COUNT = "symbol, date, count(*) OVER (PARTITION BY symbol) AS n, count(Target_Log_Return) OVER (PARTITION BY symbol) AS targets"
+
+
 @query(
     "features_training_mode",
-    f"WITH {S.FEATURE_CTES} SELECT symbol, count(*) AS n, min(date) AS first_date, max(date) AS last_date, "
-    f"count(Target_Log_Return) AS targets FROM feat WHERE {S.complete(ALL)} GROUP BY symbol",
+    f"WITH {S.FEATURE_CTES} SELECT {WITH_COUNT}, {sql_columns(ALL)} FROM feat WHERE {S.complete(ALL)}",
 )
 def features_training_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return _spans(FT.features(*inputs(spark, sf), training=True))
+    return _counted(FT.features(*inputs(spark, sf), training=True))
 
 
 @query(
     "features_inference_mode",
-    f"WITH {S.FEATURE_CTES} SELECT symbol, count(*) AS n, min(date) AS first_date, max(date) AS last_date, "
-    f"count(Target_Log_Return) AS targets FROM feat WHERE {S.complete(FEATURES)} GROUP BY symbol",
+    f"WITH {S.FEATURE_CTES} SELECT {WITH_COUNT}, {sql_columns(ALL)} FROM feat WHERE {S.complete(FEATURES)}",
 )
 def features_inference_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return _spans(FT.features(*inputs(spark, sf), training=False))
+    return _counted(FT.features(*inputs(spark, sf), training=False))
+
 
+def _counted(df: DataFrame) -> DataFrame:
+    """The rows with how many rows and targets their symbol has."""
+    df = written(df, "features")
+    sizes = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count(TARGET).alias("targets"))
+    return show(attach(df, sizes), "symbol", "date", "n", "targets", **digits(ALL))
 
-def _spans(df: DataFrame) -> DataFrame:
-    return df.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        F.count(TARGET).alias("targets"),
-    )
+
+@query(
+    "transformer_features",
+    f"WITH {S.TECHNICAL_CTES} SELECT symbol, date, 0.0::DOUBLE AS VIX_Return, 0.0::DOUBLE AS Sentiment_Score, {sql_columns([*EDA_COLUMNS, TARGET])} FROM feat WHERE {S.complete(EDA_COLUMNS)}",
+)
+def transformer_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table as a stage of an ML pipeline, set to inference and without macro and sentiment tables, which then are 0."""
+    stage = FeatureTable(training=False)
+    out = Pipeline(stages=[stage]).fit(views.bars(spark, sf)).transform(views.bars(spark, sf))
+    return show(out, "symbol", "date", "VIX_Return", "Sentiment_Score", **digits([*EDA_COLUMNS, TARGET]))
 
 
 @query(

@@ -12,11 +12,13 @@ from tickloom.operators.series import windowed
 from tickloom.operators.stats import with_return
 from tickloom.functions import rolling as R
 from tickloom.plans import sql as S
-from tickloom.plans.feature_tables import inputs
+from tickloom.plans.feature_tables import DIGITS, digits, inputs
 from tickloom.plans.registry import query, show
 from tickloom.plans.sql import W, r
 from tickloom.plans.windows import BARS, RETURNS
 from tickloom.schemas import FEATURES, TARGET
+from tickloom.session import scratch_path
+from tickloom.sources import logs as LG
 from tickloom.sources import views
 
 SMALL = (
@@ -188,17 +190,20 @@ def cv_rank(spark: SparkSession, sf: str) -> DataFrame:
     return show(Q.cv_rank(views.cv_scores(spark, sf)), "trial_id", "rank", mean_score=6, std_score=6)
 
 
-SETTINGS = Q.grid()
-SETTING_NAMES = list(SETTINGS[0])
+CHOICES = [(m, k, v) for m, axes in Q.SEARCH_SPACE.items() for k, values in axes.items() for v in values]
 
 
 @query(
     "trial_sample",
-    f"WITH g({', '.join(SETTING_NAMES)}) AS (VALUES "
-    + ", ".join("(" + ", ".join(f"'{s[k]}'" for k in SETTING_NAMES) + ")" for s in SETTINGS)
-    + f"), d AS (SELECT symbol, g.*, row_number() OVER (PARTITION BY symbol ORDER BY md5(concat_ws('-', '42', symbol, {', '.join(SETTING_NAMES)}))) AS i "
-    "FROM (SELECT DISTINCT p_brand AS symbol FROM part), g) "
-    f"SELECT symbol, CAST(i AS INTEGER) AS trial, {', '.join(SETTING_NAMES)} FROM d WHERE i <= 5",
+    "WITH space(model_type, name, value) AS (VALUES " + ", ".join(f"('{m}', '{k}', '{v}')" for m, k, v in CHOICES) + "), "
+    "t AS (SELECT symbol, CAST(i AS INTEGER) AS trial FROM (SELECT DISTINCT p_brand AS symbol FROM part), generate_series(1, 5) g(i)), "
+    "m AS (SELECT symbol, trial, arg_min(model_type, md5(concat_ws('-', '42', symbol, trial, 'model_type', model_type))) AS model_type "
+    "FROM t, (SELECT DISTINCT model_type FROM space) GROUP BY symbol, trial), "
+    "v AS (SELECT symbol, trial, model_type, name, arg_min(value, md5(concat_ws('-', '42', symbol, trial, name, value))) AS value "
+    "FROM m JOIN space USING (model_type) GROUP BY symbol, trial, model_type, name) "
+    "SELECT symbol, trial, model_type, "
+    + ", ".join(f"coalesce(max(CASE WHEN name = '{k}' THEN value END), '{d}') AS {k}" for k, d in Q.TRIAL_DEFAULTS.items())
+    + " FROM v GROUP BY symbol, trial, model_type",
 )
 def trial_sample(spark: SparkSession, sf: str) -> DataFrame:
     return Q.sample_trials(views.trials(spark, sf).select("symbol").distinct())
@@ -232,29 +237,70 @@ def prediction_output(spark: SparkSession, sf: str) -> DataFrame:
     return show(out, "symbol", "current_price", "timestamp", "message", predicted_price_tomorrow=2, variation_pct=4)
 
 
-SCALER_COLUMNS = ["Log_Return", TARGET]
-
-
-@query(
-    "batch_predict",
+# (row from the end, feature, weight): a fixed linear model over several features and rows
+WEIGHTS = [
+    (-1, "Log_Return", 0.3), (-2, "Log_Return", 0.15), (-1, "RSI_14", -0.1), (-1, "MACD_Histogram", 0.1), (-3, "MACD_Signal", 0.05),
+    (-1, "SP500_Return", 0.1), (-2, "VIX_Return", -0.05), (-1, "Sentiment_Score", 0.1), (-1, "Volume_Shock", 0.05), (-2, "OBV_ROC_5", 0.05),
+    (-1, "ATR_Pct", 0.05), (-3, "Bollinger_Width", 0.05), (-1, "Day_Sin", 0.02), (-1, "Lag_5", 0.05),
+]
+SCALED_FEATURES = sorted({f for _, f, _ in WEIGHTS})
+WINDOW_ROWS = 3
+JOB_TIME = "2026-01-02 03:04:05.678901"
+BATCH_SQL = (
     f"WITH {S.BARS}, {S.MACRO_RETURNS}, {S.SENTIMENT}, "
     "recent AS (SELECT * EXCLUDE (i) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS i FROM bars) WHERE i <= 250), "
     f"{S.features('recent')}, ok AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM feat WHERE {S.complete(FEATURES)}), "
-    f"ret AS (SELECT symbol, ln(close / lag(close) {W}) AS lr FROM bars), s AS (SELECT symbol, min(lr) AS lo, max(lr) AS hi FROM ret GROUP BY symbol), "
-    "p AS (SELECT symbol, sum(CASE back WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 END * (Log_Return - lo) / (hi - lo)) AS z FROM ok JOIN s USING (symbol) WHERE back <= 2 GROUP BY symbol), "
+    + "s AS (SELECT symbol, "
+    + ", ".join(f"min({c}) AS {c}_lo, CASE WHEN max({c}) = min({c}) THEN 1 ELSE max({c}) - min({c}) END AS {c}_w" for c in [*SCALED_FEATURES, TARGET])
+    + " FROM ok GROUP BY symbol), p AS (SELECT symbol, "
+    + " + ".join(f"{w} * max(CASE WHEN back = {-row} THEN ({c} - {c}_lo) / {c}_w END)" for row, c, w in WEIGHTS)
+    + f" AS z FROM ok JOIN s USING (symbol) WHERE back <= {WINDOW_ROWS} GROUP BY symbol), "
     "q AS (SELECT symbol, max_by(close, date) AS price, max(date) AS d FROM bars GROUP BY symbol), "
-    "o AS (SELECT symbol, price, d, z * (hi - lo) + lo AS pr FROM p JOIN s USING (symbol) JOIN q USING (symbol)) "
-    f"SELECT symbol, price AS current_price, {r('price * exp(pr)', 2)} AS predicted_price_tomorrow, {r('(exp(pr) - 1) * 100', 4)} AS variation_pct, "
+    f"o AS (SELECT symbol, price, d, z * {TARGET}_w + {TARGET}_lo AS pr FROM p JOIN s USING (symbol) JOIN q USING (symbol))"
+)
+
+
+def batch_inputs(spark: SparkSession, sf: str) -> tuple:
+    b, returns, sentiment = inputs(spark, sf)
+    scorer = SC.linear_scorer([(row, FEATURES.index(c), w) for row, c, w in WEIGHTS])
+    return b, returns, sentiment, scorer, WINDOW_ROWS
+
+
+@query(
+    "batch_predict",
+    f"{BATCH_SQL} SELECT symbol, price AS current_price, {r('price * exp(pr)', 2)} AS predicted_price_tomorrow, {r('(exp(pr) - 1) * 100', 4)} AS variation_pct, "
     "strftime(d, '%Y-%m-%d') AS timestamp, CAST(NULL AS VARCHAR) AS message, true AS scaler_applied FROM o",
 )
 def batch_predict(spark: SparkSession, sf: str) -> DataFrame:
-    """Forecast from the last two scaled log returns with a fixed linear scorer and a scaler of returns."""
-    b, returns, sentiment = inputs(spark, sf)
-    lr = with_return(b).select("symbol", F.col("log_return").alias("Log_Return"), F.col("log_return").alias(TARGET))
-    scaler = Q.minmax_fit(lr, SCALER_COLUMNS)
-    scorer = SC.linear_scorer([(-1, 0, 0.5), (-2, 0, 0.25)])
-    out = SC.predict_batch(b, returns, sentiment, scorer, length=3, scaler=scaler, features=["Log_Return"])
+    """Forecasts of all symbols from the last three rows of all 26 features, scaled, by a fixed linear model over 14 of their values."""
+    b, returns, sentiment, scorer, length = batch_inputs(spark, sf)
+    recent = SC.recent_history(b)
+    scaler = SC.batch_scaler(recent, returns, sentiment)
+    out = SC.with_output(SC.scored_batch(recent, returns, sentiment, scorer, length, scaler))
     return show(out, "symbol", "current_price", "timestamp", "message", "scaler_applied", predicted_price_tomorrow=2, variation_pct=4)
 
 
+@query(
+    "batch_predict_log",
+    f"{BATCH_SQL} SELECT symbol, '{JOB_TIME.replace(' ', 'T')}' AS timestamp, 'champion' AS model_version, 'nightly-1' AS job, strftime(d, '%Y-%m-%d') AS day, "
+    f"price AS current_price, {r('price * exp(pr)', 2)} AS predicted_price_tomorrow, "
+    + ", ".join(f"{S.r(c, DIGITS[c])} AS {c}" for c in FEATURES)
+    + " FROM o JOIN ok USING (symbol) WHERE back = 1",
+)
+def batch_predict_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log that two runs of one scoring job leave: a record a symbol, with the unscaled features of its newest row."""
+    b, returns, sentiment, scorer, length = batch_inputs(spark, sf)
+    recent = SC.recent_history(b)
+    scaler = SC.batch_scaler(recent, returns, sentiment)
+    path = scratch_path(spark, "prediction-log")
+    at = F.lit(JOB_TIME).cast("timestamp_ntz")
+    for _ in range(2):  # the second run is a retry of the first
+        SC.predict_and_log(recent, returns, sentiment, scorer, length, path, "nightly-1", at, scaler=scaler)
+    logs = LG.read_jobs(spark, path)
+    flat = LG.flatten_features(logs, FEATURES, keep=("symbol", "timestamp", "model_version", "job", "prediction_output"))
+    out = flat.withColumns({"day": F.col("prediction_output.timestamp"), "current_price": F.col("prediction_output.current_price")})
+    out = out.withColumn("predicted_price_tomorrow", F.col("prediction_output.predicted_price_tomorrow"))
+    return show(out, "symbol", "timestamp", "model_version", "job", "day", "current_price", "predicted_price_tomorrow", **digits(FEATURES))
+
+
 assert FT.columns_of(FT.FULL) == FEATURES

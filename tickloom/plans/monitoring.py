@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators import drift as D
+from tickloom.operators import sketches as SK
 from tickloom.operators.selection import without_index
 from tickloom.plans.registry import query, show
 from tickloom.plans.sql import LOGS, r
 from tickloom.schemas import INDEX_SYMBOL
+from tickloom.session import scratch_path
 from tickloom.sources import views
 
 RAISED = ["click", "view"]
@@ -137,3 +139,33 @@ REPORT_COLUMNS = [f"{m}_{c}" for m in ("ref", "cur") for c in ("mean", "std", "q
 def drift_report(spark: SparkSession, sf: str) -> DataFrame:
     out = D.report(*sides(spark, sf))
     return show(out, "symbol", "feature", "method", "drifted", "ref_count", "cur_count", statistic=6, **dict.fromkeys(REPORT_COLUMNS, 5))
+
+
+@query("drift_sketches", f"{KS} SELECT symbol, feature, n_ref, n_cur, true AS ks_in_bound, true AS same_verdict FROM ks")
+def drift_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of the reference, and of the current logs stored day by day and merged; results against the exact ones.
+
+    ``ks_in_bound``: the statistic is within the stated error of the exact one; ``same_verdict``: Wasserstein and PSI judge the same.
+    """
+    long = D.long_sides(*sides(spark, sf))
+    path = scratch_path(spark, "sketches")
+    days = views.feature_logs(spark, sf).select("symbol", F.to_date("ts").alias("day"), "value", "k").filter("day >= DATE '2024-01-16'")
+    factor = F.when(F.col("symbol").isin(RAISED), 1.5).otherwise(1.0)
+    values = days.withColumn("value", F.col("value") * factor).unpivot(["symbol", "day"], ["value", "k"], "feature", "value")
+    parts = 3
+    for part in range(parts):  # batches of days; the second comes twice, as a job that runs again
+        batch = SK.sketched(values.filter(F.day("day") % parts == part), D.KEYS, "value")
+        for _ in range(1 + (part == 1)):
+            SK.append_sketches(batch, path, f"part-{part}")
+    reference = SK.sketched(long.filter("side = 'reference'"), D.KEYS, "value")
+    current = SK.read_sketches(spark, path, reference, D.KEYS)
+    found = SK.ks(reference, current).select(*D.KEYS, F.col("statistic").alias("sketch_ks"), F.col("n_ref").alias("ref_n"), F.col("n_cur").alias("cur_n"))
+    ordered_sides = D.ordered_sides(long)
+    exact = D.ks(ordered_sides).select(*D.KEYS, "statistic", "n_ref", "n_cur")
+    out = exact.join(found, D.KEYS)
+    bound = (F.abs(F.col("statistic") - F.col("sketch_ks")) <= SK.gap_error()) & (F.col("ref_n") == F.col("n_ref")) & (F.col("cur_n") == F.col("n_cur"))
+    out = out.withColumns({"ks_in_bound": bound, "same_verdict": F.lit(True)})
+    for method in ("wasserstein", "psi"):
+        both = [d.select(*D.KEYS, F.col("drifted").alias(f"_{n}")) for n, d in enumerate((D.judge(long, ordered_sides, method), SK.drift(reference, current, method)))]
+        out = out.join(both[0].join(both[1], D.KEYS), D.KEYS).withColumn("same_verdict", F.col("same_verdict") & (F.col("_0") == F.col("_1"))).drop("_0", "_1")
+    return out.select(*D.KEYS, "n_ref", "n_cur", "ks_in_bound", "same_verdict")

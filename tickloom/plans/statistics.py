@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
 from tickloom.functions.scalar import month_of, weekday_of
 from tickloom.operators import features as FT
 from tickloom.operators import news as N
+from tickloom.operators import sketches as SK
 from tickloom.operators import stats as ST
 from tickloom.operators.series import windowed
 from tickloom.plans import sql as S
@@ -94,6 +95,14 @@ def volume_clip_q99(spark: SparkSession, sf: str) -> DataFrame:
     return show(ST.clip_quantile(views.bars(spark, sf)), "symbol", "date", "volume", volume_clipped=4)
 
 
+@query("volume_clip_sketch", f"{BARS} SELECT symbol, count(*) AS n, true AS in_bound FROM bars GROUP BY symbol")
+def volume_clip_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """The clip at an approximate quantile: the exact share of volumes up to it is 0.99 within the sketch's error and one row."""
+    clipped = SK.clip_quantile(views.bars(spark, sf).select("symbol", "date", "volume"))
+    one = clipped.groupBy("symbol").agg(F.count("*").alias("n"), F.avg((F.col("volume") <= F.col("volume_clipped")).cast("double")).alias("share"))
+    return one.select("symbol", "n", (F.abs(F.col("share") - 0.99) <= SK.rank_error() + 1 / F.col("n")).alias("in_bound"))
+
+
 @query(
     "return_histogram",
     f"{RET}, s AS (SELECT symbol, min(lr) AS lo, max(lr) AS hi FROM rets GROUP BY symbol) "
@@ -188,15 +197,19 @@ ACF_SELECT = (
 )
 
 
+def daily_return(w: WindowSpec) -> Column:
+    return R.log_return("close", w)
+
+
 @query("acf_40", acf_sql("lr") + ACF_SELECT)
 def acf_40(spark: SparkSession, sf: str) -> DataFrame:
-    return show(ST.acf(ST.with_return(views.bars(spark, sf))), "symbol", "lag", acf=6, band=6)
+    return show(ST.acf(views.bars(spark, sf).select("symbol", "date", "close"), value=daily_return), "symbol", "lag", acf=6, band=6)
 
 
 @query("acf_sq_40", acf_sql("lr * lr") + ACF_SELECT)
 def acf_sq_40(spark: SparkSession, sf: str) -> DataFrame:
-    squared = ST.with_return(views.bars(spark, sf)).withColumn("log_return", F.col("log_return") * F.col("log_return"))
-    return show(ST.acf(squared), "symbol", "lag", acf=6, band=6)
+    closes = views.bars(spark, sf).select("symbol", "date", "close")
+    return show(ST.acf(closes, value=lambda w: F.pow(daily_return(w), 2)), "symbol", "lag", acf=6, band=6)
 
 
 PACF_SQL = (
@@ -212,7 +225,8 @@ PACF_SQL = (
 
 @query("pacf_40", PACF_SQL)
 def pacf_40(spark: SparkSession, sf: str) -> DataFrame:
-    return show(ST.pacf(ST.acf(ST.with_return(views.bars(spark, sf)))), "symbol", "lag", pacf=6)
+    closes = views.bars(spark, sf).select("symbol", "date", "close")
+    return show(ST.pacf(ST.acf(closes, value=daily_return)), "symbol", "lag", pacf=6)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,18 +25,13 @@ from tickloom.schemas import FEATURE_TABLE, FEATURES, TARGET
 from tickloom.session import scratch_path
 from tickloom.sources import logs as LG
 from tickloom.sources import views
-from tickloom.sources.files import read_csv_loose, read_table, scan_bars, typed, write_table
+from tickloom.sources.files import read_csv_loose, read_json_document, read_table, scan_bars, typed, write_table
 
 AS_OF = dt.date(1998, 6, 30)
 CLOSES = ["SP500_Close", "VIX_Close", "EURUSD_Close"]
-NUDGE = "3.3e-8"  # means of a few prices often end in a 5; both sides add this before rounding so that no tie is left
 BAR_COLUMNS = "symbol, date, open, high, low, close, volume"
 
 
-def nudged(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c) + F.lit(float(NUDGE)) for c in columns})
-
-
 # Sources and sinks
 
 
@@ -62,9 +58,14 @@ def sink_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("scan_json", f"{BARS} SELECT symbol, max(date) AS last_date FROM bars GROUP BY symbol")
 def scan_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Pointers as a table of JSON lines and as one pretty-printed document per symbol; both must say the same."""
     pointers = views.bars(spark, sf).groupBy("symbol").agg(F.max("date").alias("last_date"))
     path = landed(pointers, "json", "json")
-    return read_table(spark, path, pointers.schema, "json")
+    lines = read_table(spark, path, pointers.schema, "json")
+    documents = lines.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"), F.col("symbol").alias("folder"))
+    documents.write.partitionBy("folder").text(f"{path}-documents")  # a file for each symbol
+    read = read_json_document(spark, f"{path}-documents", pointers.schema)
+    return lines.join(read.select("symbol", "last_date"), ["symbol", "last_date"])
 
 
 @query("sink_json_roundtrip", f"{BARS} SELECT {BAR_COLUMNS} FROM bars")
@@ -79,19 +80,19 @@ def scan_bars_since(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "scan_macro_range",
-    f"WITH {S.MACRO} SELECT date, series, {r(f'close + {NUDGE}', 4)} AS close FROM macro WHERE date >= DATE '1996-01-01' AND date < DATE '1996-12-31' + INTERVAL 5 DAY",
+    f"WITH {S.MACRO} SELECT date, series, {r('close', 6)} AS close FROM macro WHERE date >= DATE '1996-01-01' AND date < DATE '1996-12-31' + INTERVAL 5 DAY",
 )
 def scan_macro_range(spark: SparkSession, sf: str) -> DataFrame:
     out = B.macro_range(views.macro_long(spark, sf), dt.date(1996, 1, 1), dt.date(1996, 12, 31))
-    return show(nudged(out, "close"), "date", "series", close=4)
+    return show(out, "date", "series", close=6)
 
 
 @query(
     "macro_lookback_200d",
-    f"WITH {S.MACRO} SELECT date, series, {r(f'close + {NUDGE}', 4)} AS close FROM macro WHERE date >= DATE '1998-06-30' - INTERVAL 200 DAY AND date < DATE '1998-06-30' + INTERVAL 5 DAY",
+    f"WITH {S.MACRO} SELECT date, series, {r('close', 6)} AS close FROM macro WHERE date >= DATE '1998-06-30' - INTERVAL 200 DAY AND date < DATE '1998-06-30' + INTERVAL 5 DAY",
 )
 def macro_lookback_200d(spark: SparkSession, sf: str) -> DataFrame:
-    return show(nudged(B.macro_lookback(views.macro_long(spark, sf), AS_OF), "close"), "date", "series", close=4)
+    return show(B.macro_lookback(views.macro_long(spark, sf), AS_OF), "date", "series", close=6)
 
 
 @query(
@@ -225,10 +226,10 @@ def tz_drop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "macro_pivot",
-    f"WITH {S.MACRO_WIDE} SELECT date, " + ", ".join(f"{r(f'{c} + {NUDGE}', 4)} AS {c}" for c in CLOSES) + " FROM macro_wide",
+    f"WITH {S.MACRO_WIDE} SELECT date, " + ", ".join(f"{r(c, 6)} AS {c}" for c in CLOSES) + " FROM macro_wide",
 )
 def macro_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return show(nudged(B.macro_wide(views.macro_long(spark, sf)), *CLOSES), "date", **dict.fromkeys(CLOSES, 4))
+    return show(B.macro_wide(views.macro_long(spark, sf)), "date", **dict.fromkeys(CLOSES, 6))
 
 
 @query("rename_existing", f"{BARS} SELECT symbol, date, close AS SP500_Close FROM bars")
@@ -433,6 +434,30 @@ def news_sentiment_job(spark: SparkSession, sf: str) -> DataFrame:
     return show(out, "symbol", "date", sentiment_score=6)
 
 
+FAILS = 997
+
+
+def by_number(headlines: pd.Series) -> pd.Series:
+    """A classifier with known answers, by the number in a headline; it breaks down at some headlines, and with them a whole batch."""
+    numbers = headlines.str.split().str[-1].astype("int64")
+    if (numbers % FAILS == 0).any():
+        raise RuntimeError("no answer")
+    label = numbers.mod(3).map({0: "positive", 1: "negative", 2: "neutral"})
+    return pd.Series([[{"label": w, "score": (n % 10) / 10}] for w, n in zip(label, numbers)])
+
+
+@query(
+    "news_classified",
+    "WITH n AS (SELECT o_orderpriority AS symbol, CAST(l_shipdate AS DATE) AS date, l_orderkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 2) "
+    f"SELECT symbol, date, count(*) AS headlines, CAST(count(CASE WHEN k % {FAILS} = 0 THEN 1 END) AS BIGINT) AS failed, "
+    f"{r(f'avg(CASE WHEN k % {FAILS} = 0 OR k % 3 = 2 THEN 0 WHEN k % 3 = 0 THEN (k % 10) / 10 ELSE -(k % 10) / 10 END)', 6)} AS sentiment_score FROM n GROUP BY symbol, date",
+)
+def news_classified(spark: SparkSession, sf: str) -> DataFrame:
+    """Headlines through the classifier slot: those without an answer count as 0, and are counted."""
+    out = N.daily_classified(views.news(spark, sf).drop("scores"), by_number)
+    return show(out, "symbol", "date", "headlines", "failed", sentiment_score=6)
+
+
 # Merging and incremental loading
 
 HALVES = (

@@ -5,7 +5,6 @@ from pyspark.sql import types as T
 # Names that stored tables, logs and models rely on.
 OHLCV = ["open", "high", "low", "close", "volume"]
 MACRO_SERIES = {"SP500": "SP500_Return", "VIX": "VIX_Return", "EURUSD": "EURUSD_Return"}
-MACRO_TICKERS = {"^GSPC": "SP500_Close", "^VIX": "VIX_Close", "EURUSD=X": "EURUSD_Close"}
 INDEX_SYMBOL = "^GSPC"
 TARGET = "Target_Log_Return"
 FEATURES = [
@@ -15,7 +14,6 @@ FEATURES = [
     "Month_Sin", "Month_Cos", "Day_Sin", "Day_Cos", "Volume_ROC_5", "OBV_ROC_5",
     "RSI_14", "MACD_Line", "MACD_Signal", "MACD_Histogram", "ATR_14", "ATR_Pct",
 ]
-SYMBOLS = ["RACE", "AAPL", "NVDA", "VALE3.SA", "ITSA4.SA", "WEGE3.SA", "^GSPC"]
 # End of fixed values.
 
 
@@ -27,14 +25,12 @@ BARS = _struct(
     ("symbol", T.StringType()), ("date", T.DateType()), ("open", T.DoubleType()), ("high", T.DoubleType()),
     ("low", T.DoubleType()), ("close", T.DoubleType()), ("volume", T.LongType()),
 )
-BARS_FULL = T.StructType([*BARS.fields, *_struct(("dividends", T.DoubleType()), ("stock_splits", T.DoubleType())).fields])
 MACRO_LONG = _struct(("date", T.DateType()), ("series", T.StringType()), ("close", T.DoubleType()))
 LABEL_SCORES = T.ArrayType(_struct(("label", T.StringType()), ("score", T.DoubleType())))
 NEWS = _struct(
     ("symbol", T.StringType()), ("published", T.LongType()), ("headline", T.StringType()), ("scores", LABEL_SCORES)
 )
 SENTIMENT = _struct(("symbol", T.StringType()), ("date", T.DateType()), ("sentiment_score", T.DoubleType()))
-POINTER = _struct(("symbol", T.StringType()), ("interval", T.StringType()), ("last_date", T.DateType()))
 FEATURE_TABLE = _struct(
     ("symbol", T.StringType()), ("date", T.DateType()), *[(c, T.DoubleType()) for c in FEATURES], (TARGET, T.DoubleType())
 )
@@ -50,7 +46,3 @@ TRIALS = _struct(
     ("symbol", T.StringType()), ("trial_id", T.LongType()), ("model_type", T.StringType()),
     ("params", T.MapType(T.StringType(), T.StringType())), ("rmse", T.DoubleType()), ("mae", T.DoubleType()),
 )
-DRIFT = _struct(
-    ("symbol", T.StringType()), ("feature", T.StringType()), ("statistic", T.DoubleType()),
-    ("threshold", T.DoubleType()), ("drifted", T.BooleanType()),
-)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tickloom.functions.scalar import finite
 from tickloom.operators.series import first_rows
 from tickloom.schemas import PREDICTION_LOG
+from tickloom.sources import versions
 from tickloom.sources.files import read_table
 
 LOG_LIMIT = 100
@@ -46,6 +47,18 @@ def write_logs(logs: DataFrame, path: str) -> None:
     logs.withColumn("_folder", F.col("symbol")).write.partitionBy("_folder").mode("append").json(path)
 
 
+def append_job(logs: DataFrame, path: str, job: str) -> None:
+    """Add the records of a batch job. A job that runs again, whole or after it broke off, replaces its own records."""
+    version = versions.begin()
+    logs.write.json(versions.folder(path, job, version))
+    versions.commit(logs.sparkSession, path, job, version)
+
+
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """Records of all jobs that ended, with ``job``."""
+    return versions.read_committed(spark, path, PREDICTION_LOG, "json").withColumnRenamed("name", "job")
+
+
 def read_logs(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """All records below ``path`` with the modification time of their file."""
     df = read_table(spark, path, PREDICTION_LOG, "json", recursiveFileLookup="true", pathGlobFilter="*.json", **options)
