@@ -10,7 +10,7 @@ Block layout, all integers little-endian: the bytes ``TKB1``, bits per id (1 byt
 folder, ``part, block, docs, tokens, payload``, which Spark commits as a whole: a lost executor leaves nothing half written.
 
 Edge cases: null and empty texts have the end id only. Repeated and null ids are documents of their own; null comes
-first, equal ids in the order of their texts' ids. An empty table gives an empty file set. A document is never split.
+first, equal ids in the order of a hash of their texts. An empty table gives an empty file set. A document is never split.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -81,30 +80,20 @@ class Block:
         return unpack(self.payload, self.bits, first, end - first)
 
 
-def encoded(docs: DataFrame, encoder: Encoder) -> DataFrame:
-    """``doc_id, n, ids`` of each document, with the end id; ids as little-endian 16-bit integers where the vocabulary allows."""
-
-    @F.pandas_udf("struct<n:long,ids:binary>")
-    def ids(texts: pd.Series) -> pd.DataFrame:
-        kind = "<u2" if width(encoder.library.get_vocab_size()) <= 16 else "<u4"
-        every = [np.append(encoder.encode(text), np.uint32(END_ID)) for text in texts]
-        return pd.DataFrame({"n": [len(e) for e in every], "ids": [e.astype(kind).tobytes() for e in every]})
-
-    return docs.select("doc_id", ids("text").alias("e")).select("doc_id", "e.n", "e.ids")
-
-
 def write(docs: DataFrame, encoder: Encoder, path: str) -> None:
-    """Write the documents' ids to ``path`` in ascending order of ``doc_id``.
+    """Write the documents' ids to ``path`` in ascending order of ``doc_id``, each with the end id.
 
-    Texts are encoded once; their ids are dealt out by ranges of ``doc_id``, sorted within a range and packed as they
-    come. Positions count from the start of a part: what is before a part follows from the parts' token counts.
+    Texts are dealt out by ranges of ``doc_id``, sorted within a range, and encoded and packed as they come: dealing looks at ids and
+    hashes only, so a text is encoded once. Positions count from the start of a part: what is before a part follows from
+    the parts' token counts.
     """
     spark = docs.sparkSession
     bits = width(encoder.library.get_vocab_size())
-    kind = "<u2" if bits <= 16 else "<u4"
-    order = F.col("doc_id").asc_nulls_first(), F.col("n"), F.xxhash64("ids")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = encoded(docs, encoder).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the number spreads rows that are equal
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("number"))
+    order = F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("number")
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -118,8 +107,8 @@ def write(docs: DataFrame, encoder: Encoder, path: str) -> None:
 
         kinds = pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.binary()
         for batch in batches:
-            for name, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                ids = np.frombuffer(raw, kind)
+            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = np.append(encoder.encode(text.as_py()), np.uint32(END_ID))
                 if held and size + len(ids) > BLOCK_TOKENS:
                     yield made()
                     number, position, size, held, names = number + 1, position + size, 0, [], []
