@@ -44,8 +44,9 @@ def cut(encoder: Encoder, text: str | None, capacity: int = CAPACITY) -> list[tu
 
 
 def with_pieces(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, ids, doc_tokens``; ids as little-endian 32-bit integers, or null.
+    """One row per piece: ``doc_id, start, length, ids_crc32, ids, doc_tokens, number``; ids as little-endian 32-bit integers, or null.
 
+    ``number`` tells rows apart that are equal otherwise.
     A task holds a batch of texts and the pieces of ``EMIT`` of them.
     """
 
@@ -61,7 +62,7 @@ def with_pieces(docs: DataFrame, encoder: Encoder, capacity: int = CAPACITY, kee
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, ids binary, doc_tokens long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, schema).withColumn("number", F.monotonically_increasing_id())
 
 
 @dataclass(frozen=True)
@@ -149,8 +150,8 @@ class Places:
 
 def ranked(pieces: DataFrame, by: str, salts: int) -> DataFrame:
     """``pieces`` with a gapless ``rank`` from 0 among equal ``by``; a group is ordered in ``salts`` parts, which are put end to end."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
-    inside = salted.withColumn("inside", F.row_number().over(Window.partitionBy(by, "salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "number"), F.lit(salts)))
+    inside = salted.withColumn("inside", F.row_number().over(Window.partitionBy(by, "salt").orderBy("doc_id", "start", "ids_crc32", "number")) - 1)
     sizes = salted.groupBy(by, "salt").count()  # lengths x salts rows
     before = F.coalesce(F.sum("count").over(Window.partitionBy(by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(by, "salt", before.alias("before"))
@@ -173,7 +174,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield batch.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked(pieces, "length", salts).select(*pieces.columns, "rank").mapInPandas(place, schema)
+    return ranked(pieces, "length", salts).select(*pieces.columns, "rank").mapInPandas(place, schema).drop("number")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
