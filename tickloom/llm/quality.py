@@ -114,8 +114,13 @@ class Measured:
 
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 400) -> list[Measured]:
-    """Seconds and share rejected of each rule on at most ``sample_rows`` texts."""
-    sample = docs.select(text_of().alias("text")).limit(sample_rows).select("text", words(F.col("text")).alias("tokens"))
+    """Seconds and share rejected of each rule on at most ``sample_rows`` texts.
+
+    The sample is taken once, from the first partitions that suffice, and is a table of its own: no rule scans or shuffles the documents.
+    """
+    spark = docs.sparkSession
+    taken = docs.select(text_of().alias("text")).take(sample_rows)
+    sample = spark.createDataFrame(taken, "text string").coalesce(1).select("text", words(F.col("text")).alias("tokens"))
 
     def timed(failing: Column) -> tuple[float, float]:
         began = time.perf_counter()
