@@ -2,7 +2,7 @@
 
 Training counts n-grams of one to three characters of lower-case text, white space as one blank, by language and hash slot; counting runs in
 the tasks and is summed by Spark, so only the matrix of languages and slots reaches the driver. It is sent to the tasks
-as log-probabilities, and numpy scores a batch of texts as a sparse product.
+as log-probabilities, and numpy scores each text of a batch by the slots that it has, a sparse product.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0.0, and so is every text if nothing was
 learned. Null languages are not learned from. Ties go to the language that sorts first. Repeated rows get equal results.
@@ -59,9 +59,8 @@ class Model:
         """A language and its posterior."""
         if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
-        counts = np.bincount(slots(text), minlength=SLOTS)
-        used = np.flatnonzero(counts)
-        z = self.prior + counts[used] @ self.log_p[used]
+        used, counts = np.unique(slots(text), return_counts=True)
+        z = self.prior + counts @ self.log_p[used]
         best = int(z.argmax())
         return self.languages[best], float(1.0 / np.exp(z - z[best]).sum())
 
@@ -82,7 +81,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(docs: DataFrame, *, per_language: int = 4000, most_languages: int = 500, folds: int = 3, held_out: int = 1, smooth: float = 0.5) -> Model:
-    """Learn from at most ``per_language`` documents of each language, those with the smallest hashes of their ids.
+    """Learn from about ``per_language`` documents of each language, by a hash of id and text; of every language from one at least.
 
     The matrix has ``most_languages`` columns at most; more languages are an error, none is dropped silently.
     """
@@ -95,8 +94,16 @@ def fit(docs: DataFrame, *, per_language: int = 4000, most_languages: int = 500,
     # the share of hashes that leaves about per_language documents of a language: no sort, no group in one task
     share = {r["lang"]: min(1.0, per_language / r["n"]) for r in sizes}
     cut = F.create_map([F.lit(x) for lang, s in share.items() for x in (lang, int(s * (1 << 30)))])
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < cut[F.col("lang")]).select("text", "lang")
-    summed = drawn.mapInPandas(_counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    drawn = usable.where(order < cut[F.col("lang")]).select("text", "lang")
+
+    def counted(rows: DataFrame) -> pd.DataFrame:
+        return rows.mapInPandas(_counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+
+    summed = counted(drawn)
+    if missed := sorted(share.keys() - set(summed["lang"])):  # rows that are all alike can all have large hashes
+        first = usable.where(F.col("lang").isin(missed)).groupBy("lang").agg(F.min_by("text", order).alias("text"))
+        summed = pd.concat([summed, counted(first.select("text", "lang"))])
     languages = tuple(sorted(share))
     counts = np.zeros((SLOTS, len(languages)))
     column = summed["lang"].map({lang: k for k, lang in enumerate(languages)}).to_numpy()
