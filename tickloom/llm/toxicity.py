@@ -70,18 +70,20 @@ class Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, per_class: int, max_chars: int, folds: int, held_out: int) -> DataFrame:
-    """Bounded sample of labelled documents, ``doc_id, text, toxic``: by hash of the id, twice as many clean as toxic ones."""
+    """Bounded sample of labelled documents, ``doc_id, text, toxic``: by a hash of id and text, twice as many clean as toxic ones.
+
+    The bound is on rows: equal rows are taken once, and rows that share an id are rows of their own.
+    """
     marked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
-    usable = docs.where(F.length("text") <= max_chars)
-    marked = marked.join(usable.select("doc_id").distinct(), "doc_id", "left_semi")
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    toxic = marked.where("toxic = 1").orderBy(*order).limit(per_class)
-    clean = marked.where("toxic = 0").orderBy(*order).limit(2 * per_class)
-    return usable.select("doc_id", "text").join(F.broadcast(toxic.union(clean)), "doc_id")  # at most 3 * per_class ids
+    usable = docs.where(F.length("text") <= max_chars).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    rows = usable.select("doc_id", "key").join(marked, "doc_id").select("key", "toxic").distinct()
+    toxic = rows.where("toxic = 1").orderBy("key").limit(per_class)
+    clean = rows.where("toxic = 0").orderBy("key").limit(2 * per_class)
+    return usable.join(F.broadcast(toxic.union(clean)), "key").dropDuplicates(["key"]).select("doc_id", "text", "toxic")  # at most 3 * per_class keys
 
 
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
