@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced in the text."""
     network = scan.fit(docs)
-    return docs.withColumn("text", scan.redacted(network, F.col("text"))).select(*docs.columns)
+    return docs.withColumn("text", scan.redacted(network, F.col("text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
