@@ -546,3 +546,119 @@ def test_near_duplicates_judges_rows(spark, sf):
     chain = [(5, text("f")), (None, text("f", 50)), (9, text("f", 50, 70, 90))]
     found = ngram_join.components_of(spark.createDataFrame(chain, "doc_id long, text string")).collect()
     assert {r["component_id"] for r in found} == {5}
+
+
+# Rows, not ids
+
+
+def test_rows_that_share_an_id(spark):
+    """A third of all rows and more share one id, or have none: each counts by itself."""
+    german, english = "der Hund läuft über die Straße und %d Häuser", "the dog runs over the street and %d houses"
+    for shared in (7, 8, 12, None):
+        docs = spark.createDataFrame(
+            [(shared, german % k, "de") for k in range(600)] + [(1000 + k, english % k, "en") for k in range(300)], "doc_id long, text string, lang string"
+        )
+        model = language.fit(docs, per_language=100)
+        if shared != 7:  # the fold held out
+            assert model.languages == ("de", "en") and model.predict("die Straße läuft")[0] == "de"
+    alike = spark.createDataFrame([(8, german, "de")] * 500 + [(1000 + k, english % k, "en") for k in range(300)], "doc_id long, text string, lang string")
+    assert language.fit(alike, per_language=1).languages == ("de", "en") and language.fit(alike, per_language=1).predict(german)[0] == "de"
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(1, "same")] * 500 + [(k, f"other {k}") for k in range(2, 50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 50)], "doc_id long, toxic int")
+    drawn = toxicity.training_sample(docs, labels, per_class=3, max_chars=20_000, folds=5, held_out=9)
+    assert drawn.where("toxic = 1").count() == 3 and drawn.where("toxic = 0").count() == 6
+
+
+def test_fingerprints_of_a_shared_id(spark):
+    """Half of all rows share an id, a third have none: their texts are spread over buckets, and each is followed by another."""
+    rows_ = [(5, f"alpha beta w{k}") for k in range(300)] + [(None, f"gamma delta v{k}") for k in range(200)] + [(k, f"other {k}") for k in range(100, 200)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    placed, _ = fingerprint.with_bucket(docs, 8)
+    sizes = {r["bucket"]: r["count"] for r in placed.groupBy("bucket").count().collect()}
+    assert max(sizes.values()) < 100
+    found = fingerprint.fingerprints(docs)[0].collect()
+    assert sorted(r["next_text"] for r in found) == sorted(t for _, t in rows_)
+    by_text = {r["text"]: r for r in found}
+    order, text = [], found[0]["text"]
+    for _ in rows_:
+        order.append(by_text[text]["doc_id"])
+        text = by_text[text]["next_text"]
+    turn = order.index(None) if order[-1] is not None else next(k for k in range(len(order)) if order[k - 1] is not None and order[k] is None)
+    order = order[turn:] + order[:turn]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+
+
+def test_equal_rows_are_packed_by_several_tasks(spark):
+    docs = spark.createDataFrame([(3, "the same words again")] * 400, "doc_id long, text string")
+    pieces = packing.with_pieces(docs, tokens.byte_encoder())
+    salts = {r["salt"] for r in pieces.select(packing.F.pmod(packing.F.xxhash64("doc_id", "start", "ids_crc32", "number"), packing.F.lit(16)).alias("salt")).collect()}
+    assert len(salts) == 16
+    check_packing(packing.packed(packing.with_pieces(docs, tokens.byte_encoder(), keep_ids=True)).collect())
+
+
+def test_binary_files_of_equal_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(3, "the same words again")] * 200 + [(None, "no id"), (1, "first")], "doc_id long, text string")
+    binary.write(docs, tokens.word_encoder(), f"{tmp_path}/files")
+    found = binary.read(spark, f"{tmp_path}/files").orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None, 1] + [3] * 200 and [r["start"] for r in found] == list(np.cumsum([0] + [r["n_tokens"] for r in found])[:-1])
+
+
+def test_secret_stage_keeps_a_column_with_a_dot(spark, sf):
+    docs = spark.createDataFrame([(1, "password = 'abcdefgh1234'", 2)], "doc_id long, text string, `a.b` int")
+    kept = stages.secrets(spark, docs, sf)
+    assert kept.columns == ["doc_id", "text", "a.b"] and "abcdefgh1234" not in kept.first()["text"]
+
+
+def test_quality_sample_is_taken_once(spark, sf):
+    """What the rules are measured on is a table of its own: no plan of a rule reads or shuffles the documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = []
+    take = type(docs).take
+
+    def counting(self, n):
+        seen.append(n)
+        return take(self, n)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(docs), "take", counting)
+        measured = quality.measure(docs, sample_rows=50)
+    assert seen.count(50) == 1 and len(measured) == len(quality.RULES)
+
+
+# Plain versions
+
+
+def test_toxicity_equals_plain_noisy_or(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    for r in toxicity.with_score(docs, model).collect():
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]+", (r["text"] or "").lower()):
+            words = set(re.findall(r"[^\W\d_]+", sentence))
+            if words:
+                z = model.bias + sum(model.weights.get(w, 0.0) for w in words)
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        assert math.isclose(r["score"], 1 - clean, rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_language_equals_plain_naive_bayes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    table = docs.collect()
+    counts, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in table:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            counts[r["lang"]].update(language.slots(r["text"]).tolist())
+            n[r["lang"]] += 1
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    for r in language.with_language(docs, language.fit(docs)).collect():
+        z = {lang: math.log(n[lang] / sum(n.values())) for lang in sorted(counts)}
+        for slot, times in collections.Counter(language.slots(r["text"] or "").tolist()).items():
+            for lang in z:
+                z[lang] += times * (math.log(counts[lang][slot] + 0.5) - math.log(total[lang] + 0.5 * language.SLOTS))
+        best = max(z, key=lambda lang: z[lang])
+        if any(c.isalpha() for c in r["text"] or ""):
+            assert r["language"]["lang_pred"] == best
+            assert math.isclose(r["language"]["score"], 1 / sum(math.exp(x - z[best]) for x in z.values()), rel_tol=1e-6)
