@@ -429,6 +429,44 @@ def test_secret_sample_holds_copies_once(spark):
     assert len(found) == len(found.drop_duplicates()) and found.label.value_counts().to_dict() == {0: 40, 1: 40}
 
 
+def test_secret_network_learns_from_all_findings(spark, monkeypatch):
+    """Whatever the sample to start from holds, all findings of distinct texts are learned from or calibrated on, however they are stored."""
+    texts_ = [f"token = 'value{k}value{k * k}value{k}' and plainword{k} or otherword{k * 7}" for k in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    seen = []
+    counts = secrets.Network.calibrate_counts
+    monkeypatch.setattr(secrets.Network, "calibrate_counts", lambda self, z, y, n, r: seen.append((n.sum(), n[y > 0].sum())) or counts(self, z, y, n, r))
+    one, two = (secrets.fit(docs.repartition(parts), per_label=60) for parts in (1, 7))
+    learned = [t for k, t in enumerate(texts_) if zlib.crc32(str(k).encode()) % 5]
+    views = secrets.found_in(learned)
+    apart = views.apart()
+    assert seen[-1] == (2 * apart.sum(), 2 * (apart & views.label[views.candidate]).sum()) and seen[-1][0] > 8 * 120 / 4
+    assert all(np.allclose(a, b) for a, b in zip(one.weights, two.weights)) and math.isclose(one.threshold, two.threshold, rel_tol=1e-6)
+    start = secrets.fit(docs.where("doc_id < 0 or doc_id % 90 < 89"), per_label=60)  # other texts, other weights
+    assert not np.allclose(start.filters, one.filters)
+
+
+def test_secret_scores_of_places_equal_those_of_rows():
+    views = secrets.found_in(["", "abcdefgh", "x" * 200 + " \0 " + "é" * 30 + "=password: 'abcdefgh1234'", "plainword " * 40])
+    network, every = secrets.Network.fresh(3), np.arange(len(views.at))
+    rows = secrets.coded([views.strings(k) for k in every])
+    codes, offset = views.seen(every, every)
+    assert np.allclose(network.scores(codes, offset, network.tables()), network.logits(rows), atol=1e-5)
+    y = (every % 2).astype(float)
+    _, _, _, _, z = network._forward(rows)
+    assert np.allclose(network.logits(rows), z, atol=1e-4)
+    slopes = network.slopes(codes, offset, y, np.full(len(y), 1 / len(y)))
+    loss = lambda: float(np.mean(np.logaddexp(0, network._forward(rows)[4]) - y * network._forward(rows)[4]))
+    for values, slope in zip(network.weights, slopes):
+        at = np.unravel_index(np.abs(slope).argmax(), slope.shape)
+        kept = values[at]
+        values[at] = kept + 1e-5
+        above = loss()
+        values[at] = kept - 1e-5
+        assert math.isclose((above - loss()) / 2e-5, slope[at], rel_tol=1e-2)
+        values[at] = kept
+
+
 def test_secret_threshold_keeps_the_recall():
     assert secrets.candidates("a short1 keyonlyletters 12345678") == [(9, 23), (24, 32)]
     codes = secrets.coded([("", f"abc{k}defgh", "") for k in range(100)])
