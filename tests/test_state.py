@@ -279,3 +279,13 @@ def test_a_failing_classifier_loses_single_headlines_only(spark):
     out = spark.createDataFrame(headlines, "h string").select("h", N.tolerant_scorer(classify)("h").alias("a")).collect()
     assert [r["h"] for r in out if r["a"]["failed"]] == ["h3 bad", "h17 bad"]
     assert all((r["a"]["scores"] is not None) == ("good" in (r["h"] or "")) for r in out)
+
+
+def test_scoring_job_computes_features_once(spark, sf, monkeypatch):
+    """The scaler and both runs of a job read one written table, so macro and news data are joined once."""
+    from tickloom.plans import QUERIES
+
+    made = []
+    features = FT.features
+    monkeypatch.setattr(FT, "features", lambda *a, **b: made.append(a) or features(*a, **b))
+    assert QUERIES["batch_predict_log"](spark, sf).count() > 0 and len(made) == 1

@@ -61,6 +61,11 @@ def recent_history(history: DataFrame, rows: int = HISTORY_ROWS) -> DataFrame:
     return written(tail(history, rows), "recent")
 
 
+def recent_features(recent: DataFrame, macro_returns: DataFrame | None, sentiment: DataFrame | None) -> DataFrame:
+    """All features and the target of the recent history, written: the scaler and every run of a job read them, macro and news data are read once."""
+    return written(FT.features(recent, macro_returns, sentiment, training=False, bounded=True), "features")
+
+
 def scored_batch(
     recent: DataFrame,
     macro_returns: DataFrame | None,
@@ -69,13 +74,14 @@ def scored_batch(
     length: int,
     scaler: DataFrame | None = None,
     features: Sequence[str] = FEATURES,
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """One row per symbol: last quote, ``predicted_return``, the forecast fields, ``scaler_applied``, and the newest value of each feature, unscaled.
 
     ``recent`` is what ``recent_history`` keeps, so that a symbol is one window. ``scorer`` gets (symbol, date, sequence) and adds
-    ``prediction``: a fitted MLlib model or any expression.
+    ``prediction``: a fitted MLlib model or any expression. ``table`` is what ``recent_features`` has written of the same input, if it has.
     """
-    table = FT.features(recent, macro_returns, sentiment, training=False, bounded=True)
+    table = FT.features(recent, macro_returns, sentiment, training=False, bounded=True) if table is None else table
     aligned = C.scrub(C.align_zero(table, features), features)
     newest = F.max_by(F.struct(*features), "date").alias("_newest")
     applied = scaler is not None and scaler_matches(scaler, [*features, TARGET])
@@ -96,9 +102,9 @@ def scored_batch(
     return forecast(quoted).withColumn("scaler_applied", F.lit(applied)).select("*", "_newest.*").drop("_newest")
 
 
-def batch_scaler(recent: DataFrame, macro_returns: DataFrame | None, sentiment: DataFrame | None, features: Sequence[str] = FEATURES) -> DataFrame:
-    """A scaler of the features and the target over the complete rows of the recent history."""
-    table = FT.features(recent, macro_returns, sentiment, training=False, bounded=True)
+def batch_scaler(recent: DataFrame, macro_returns: DataFrame | None, sentiment: DataFrame | None, features: Sequence[str] = FEATURES, table: DataFrame | None = None) -> DataFrame:
+    """A scaler of the features and the target over the complete rows of the recent history; ``table`` as in ``scored_batch``."""
+    table = FT.features(recent, macro_returns, sentiment, training=False, bounded=True) if table is None else table
     return written(minmax_fit(table, [*features, TARGET]), "scaler")
 
 

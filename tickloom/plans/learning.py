@@ -275,8 +275,9 @@ def batch_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Forecasts of all symbols from the last three rows of all 26 features, scaled, by a fixed linear model over 14 of their values."""
     b, returns, sentiment, scorer, length = batch_inputs(spark, sf)
     recent = SC.recent_history(b)
-    scaler = SC.batch_scaler(recent, returns, sentiment)
-    out = SC.with_output(SC.scored_batch(recent, returns, sentiment, scorer, length, scaler))
+    table = SC.recent_features(recent, returns, sentiment)
+    scaler = SC.batch_scaler(recent, returns, sentiment, table=table)
+    out = SC.with_output(SC.scored_batch(recent, returns, sentiment, scorer, length, scaler, table=table))
     return show(out, "symbol", "current_price", "timestamp", "message", "scaler_applied", predicted_price_tomorrow=2, variation_pct=4)
 
 
@@ -291,11 +292,12 @@ def batch_predict_log(spark: SparkSession, sf: str) -> DataFrame:
     """The log that two runs of one scoring job leave: a record a symbol, with the unscaled features of its newest row."""
     b, returns, sentiment, scorer, length = batch_inputs(spark, sf)
     recent = SC.recent_history(b)
-    scaler = SC.batch_scaler(recent, returns, sentiment)
+    table = SC.recent_features(recent, returns, sentiment)
+    scaler = SC.batch_scaler(recent, returns, sentiment, table=table)
     path = scratch_path(spark, "prediction-log")
     at = F.lit(JOB_TIME).cast("timestamp_ntz")
     for _ in range(2):  # the second run is a retry of the first
-        SC.predict_and_log(recent, returns, sentiment, scorer, length, path, "nightly-1", at, scaler=scaler)
+        SC.predict_and_log(recent, returns, sentiment, scorer, length, path, "nightly-1", at, scaler=scaler, table=table)
     logs = LG.read_jobs(spark, path)
     flat = LG.flatten_features(logs, FEATURES, keep=("symbol", "timestamp", "model_version", "job", "prediction_output"))
     out = flat.withColumns({"day": F.col("prediction_output.timestamp"), "current_price": F.col("prediction_output.current_price")})
