@@ -637,6 +637,21 @@ def test_equal_rows_are_packed_by_several_tasks(spark):
     check_packing(packing.packed(packing.with_pieces(docs, tokens.byte_encoder(), keep_ids=True)).collect())
 
 
+def test_only_copied_texts_are_looked_at_again(spark):
+    """The bit map lets all copied keys through and few others; the lexicon counts distinct texts."""
+    keys = spark.createDataFrame([(k * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63),) for k in range(20_000)], "key long")
+    copied = keys.where("pmod(xxhash64(key), 100) = 0")
+    passed = keys.where(fingerprint.may_be_in(copied)(fingerprint.F.col("key")))
+    assert copied.join(passed, "key", "left_anti").count() == 0 and copied.count() <= passed.count() < 2 * copied.count()
+    assert keys.where(fingerprint.may_be_in(copied.limit(0))(fingerprint.F.col("key"))).count() == 0
+    texts_ = [f"common word{k % 40} other{k % 7}" for k in range(280)] + ["common word1 other1"] * 500 + ["twice word2"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    n = collections.Counter(w for t in set(texts_) for w in set(t.split()))
+    want = {w for w, c in n.items() if max(2, 0.001 * len(set(texts_))) <= c <= 0.2 * len(set(texts_))}
+    hashed = {r["h"] for r in spark.createDataFrame([(w,) for w in want], "w string").select(fingerprint.F.xxhash64("w").alias("h")).collect()}
+    assert set(fingerprint.lexicon(docs)) == hashed
+
+
 def test_binary_files_of_equal_rows(spark, tmp_path):
     docs = spark.createDataFrame([(3, "the same words again")] * 200 + [(None, "no id"), (1, "first")], "doc_id long, text string")
     binary.write(docs, tokens.word_encoder(), f"{tmp_path}/files")

@@ -26,12 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import documents, text_of
+from tickloom.session import written
 
 #: Document frequency band, as shares of all distinct texts.
 LOW, HIGH = 0.001, 0.2
 #: One in how many lexicon terms a small subset holds, and how many such subsets there are; subsets of one kind share no term.
 SUBSETS = {512: 16, 128: 40}
 SLOTS = 8192
+#: Bits that tell which texts may occur twice or more; they only spare shuffles.
+BITS = 1 << 22
 
 
 def term_hashes(text: Column) -> Column:
@@ -40,17 +43,27 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(split, lambda w: F.xxhash64(w)))
 
 
+def may_be_in(keys: DataFrame):
+    """A test for keys, true for all of ``keys`` and for few others: a literal bit map, at most ``BITS / 64`` numbers whatever the table."""
+    bit = lambda key: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int"))
+    word = lambda key: F.floor(F.pmod(key, F.lit(BITS)) / 64).cast("int")
+    held = {r["word"]: r["bits"] for r in keys.groupBy(word(F.col("key")).alias("word")).agg(F.bit_or(bit(F.col("key"))).alias("bits")).collect()}
+    table = F.from_json(F.lit(json.dumps([held.get(k, 0) for k in range(BITS // 64)])), "array<bigint>")
+    return lambda key: F.get(table, word(key)).bitwiseAND(bit(key)) != 0
+
+
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[int]:
     """Hashes of the terms in the band, counted over all distinct texts.
 
     All rows are counted, combined before the shuffle; of a text that ``n`` rows have, each row is then taken back by ``1 - 1 / n``.
-    Only texts that occur twice or more are looked at again.
+    Only texts that occur twice or more are looked at again, and of the others few are shuffled for it.
     """
     texts = docs.select(text_of().alias("text"), F.xxhash64(text_of()).alias("key"))
     copies = texts.groupBy("key").agg(F.count("*").alias("n"))
     total = copies.count()
     every = texts.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    again = texts.join(copies.where("n > 1"), "key").select(F.explode(term_hashes(F.col("text"))).alias("term"), (1 - 1 / F.col("n")).alias("more"))
+    copied = written(copies.where("n > 1"), "copied")
+    again = texts.where(may_be_in(copied)(F.col("key"))).join(copied, "key").select(F.explode(term_hashes(F.col("text"))).alias("term"), (1 - 1 / F.col("n")).alias("more"))
     surplus = again.groupBy("term").agg(F.sum("more").alias("more"))
     counts = every.join(surplus, "term", "left").select("term", (F.col("n") - F.round(F.coalesce("more", F.lit(0.0)))).alias("n"))
     return sorted(r["term"] for r in counts.where((F.col("n") >= max(2.0, low * total)) & (F.col("n") <= high * total)).select("term").collect())
