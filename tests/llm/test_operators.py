@@ -91,6 +91,14 @@ def test_bpe_odd_texts(spark, odd, none, tik):
     assert bpe.encoded(none, vocabulary).count() == 0
 
 
+def test_bpe_plan_names_its_tables_once(spark, odd):
+    """The driver keeps the text of every plan: the pair map stands in it once, the words do not, and no row carries them."""
+    vocabulary = bpe.Bpe(bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    plan = bpe.encoded(odd.select("doc_id", "text"), vocabulary)._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 3_000_000
+    assert plan.count("array(Subquery subquery#") == 1 and len(vocabulary.tokens) > 40_000
+
+
 def test_every_token_encodes_to_itself(tik):
     """What the pair map needs: the two ids that a token's bytes merge into last merge into that token."""
     ranks = {tik.decode_single_token_bytes(k): k for k in range(tik.n_vocab)}

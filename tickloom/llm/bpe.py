@@ -3,11 +3,13 @@
 A text is cut into words by a pattern. A word that is a token is one id. Else its bytes, as an array of ids, are folded:
 each step merges the adjacent pair with the lowest rank, the leftmost of equals, until no pair has a rank. The rank map
 is a literal: for each pair of ids the id that they merge into, which is its rank, in two tables where a pair has one
-place each. A step looks up only the two pairs that a merge makes new.
+place each. The plan names it once, as the driver keeps the text of every plan. A step looks up only the two pairs that a
+merge makes new.
 
-Words that a sample of documents has more than once are encoded first, by a fold over these distinct words, and sent to
-the tasks as another literal map. The sample decides where a word is encoded, never how; every other word is folded
-where it stands. Decoding concatenates the byte strings of ids.
+Words that a sample of documents has more than once are encoded first, by a fold over these distinct words. With the
+tokens they are a map in one written row, which a scalar subquery sends to the tasks, so that no plan holds them. The
+sample decides where a word is encoded, never how; every other word is folded where it stands. Decoding concatenates the
+byte strings of ids.
 
 Edge cases: null and empty texts have no ids. There are no special tokens: their strings are ordinary text. Letters and
 numbers are told apart by the Unicode tables of the Java runtime; characters that it does not know yet count as others.
@@ -19,12 +21,14 @@ import base64
 import json
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import documents, text_of
 from tickloom.llm.quality import bound
+from tickloom.session import written
 
 #: White space, and the pattern that cuts words, in Java's syntax.
 _S = r"\t\n\x0B\f\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -34,6 +38,8 @@ SAMPLE_DOCS, MOST_COMMON = 10_000, 200_000
 #: Larger than any rank.
 NONE = (1 << 31) - 1
 WIDE = 1 << 20
+#: A column for the length of a plan.
+KNOWN = "_bpe_known_words"
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -74,26 +80,32 @@ def literal(values: Iterable[object], kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(list(values), ensure_ascii=False)), f"array<{kind}>")
 
 
-def lookup(entries: dict, kind: str, key_kind: str, hashed: Callable, number: Callable[[object], int]) -> Callable[[Column], Column]:
-    """A literal map: the value of a key, null for keys that it does not have. ``hashed`` and ``number`` give a key's number in Spark and here."""
+def tables(entries: dict, number: Callable[[object], int], **room: float) -> dict[str, list]:
+    """A map as keys and values by place in two tables; ``number`` gives a key's number."""
     keys = list(entries)
-    one, two, first, second = places([number(k) for k in keys])
-    tables = [(size, literal((None if k is None else keys[k] for k in held), key_kind), literal((None if k is None else entries[keys[k]] for k in held), kind)) for size, held in ((one, first), (two, second))]
+    _, _, *held = places([number(k) for k in keys], **room)
+    named = {}
+    for side, places_of in enumerate(held):
+        named[f"keys_{side}"] = [None if k is None else keys[k] for k in places_of]
+        named[f"values_{side}"] = [None if k is None else entries[keys[k]] for k in places_of]
+    return named
 
-    def find(key: Column) -> Column:
-        at = [(F.pmod(hashed(key), F.lit(size)).cast("int"), names, values) for size, names, values in tables]
-        (i, names_1, values_1), (j, names_2, values_2) = at
-        return F.when(F.get(names_1, i) == key, F.get(values_1, i)).when(F.get(names_2, j) == key, F.get(values_2, j))
 
-    return find
+def find(held: Column, key: Column, number: Column) -> Column:
+    """The value of a key in a struct of ``tables``, null for keys that it does not have."""
 
+    def at(side: int) -> tuple[Column, Column]:
+        keys = held[f"keys_{side}"]
+        place = F.pmod(number, F.size(keys)).cast("int")
+        return F.get(keys, place) == key, F.get(held[f"values_{side}"], place)
 
-def text_lookup(entries: dict[str, object], kind: str) -> Callable[[Column], Column]:
-    def number(key: str) -> int:
-        h = xxhash.xxh64_intdigest(key.encode(), seed=42)
-        return h - (1 << 64) if h >= 1 << 63 else h
+    return F.when(*at(0)).when(*at(1))
 
-    return lookup(entries, kind, "string", F.xxhash64, number)
+
+def text_number(key: str) -> int:
+    """What ``F.xxhash64`` gives."""
+    h = xxhash.xxh64_intdigest(key.encode(), seed=42)
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def byte_text(word: Column) -> Column:
@@ -122,7 +134,8 @@ class Bpe:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         pairs = last_merges(ranks)
-        self._merged = lookup(pairs, "int", "bigint", lambda key: key, lambda key: key)
+        held = tables(pairs, lambda key: key, room=1.2)
+        self._pairs = F.struct(*[literal(held[name], "bigint" if name.startswith("keys") else "int").alias(name) for name in held])
         size = max(ranks.values(), default=-1) + 1
         pieces, little = [""] * size, [""] * size
         for token, rank in ranks.items():
@@ -137,13 +150,17 @@ class Bpe:
             except UnicodeDecodeError:
                 pass  # part of a character, so no word
 
-    def pair_rank(self, a: Column, b: Column) -> Column:
-        return F.coalesce(self._merged(a.cast("bigint") * WIDE + b), F.lit(NONE))
-
     def fold(self, word: Column) -> Column:
         """Ids of one word: its bytes' ids and the ranks of adjacent pairs, merged step by step."""
+        return bound(self._pairs, lambda pairs: self._folded(word, pairs))
+
+    def _folded(self, word: Column, pairs: Column) -> Column:
+        def pair_rank(a: Column, b: Column) -> Column:
+            key = a.cast("bigint") * WIDE + b
+            return F.coalesce(find(pairs, key, key), F.lit(NONE))
+
         ids = F.transform(F.split(byte_text(word), ""), lambda c: F.get(self._bytes, F.ascii(c)))
-        start = bound(ids, lambda s: F.struct(s.alias("s"), F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), self.pair_rank).alias("r")))
+        start = bound(ids, lambda s: F.struct(s.alias("s"), F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), pair_rank).alias("r")))
 
         def step(state: Column, _: Column) -> Column:
             s, r = state["s"], state["r"]
@@ -151,8 +168,8 @@ class Bpe:
             def merged(found: Column) -> Column:
                 best, k = F.shiftright(found, 32).cast("int"), found.bitwiseAND(F.lit((1 << 32) - 1)).cast("int") + 1
                 none = F.slice(r, 1, 0)
-                left = F.when(k > 1, F.array(self.pair_rank(F.get(s, k - 2), best))).otherwise(none)
-                right = F.when(k < F.size(r), F.array(self.pair_rank(best, F.get(s, k + 1)))).otherwise(none)
+                left = F.when(k > 1, F.array(pair_rank(F.get(s, k - 2), best))).otherwise(none)
+                right = F.when(k < F.size(r), F.array(pair_rank(best, F.get(s, k + 1)))).otherwise(none)
                 symbols = F.concat(F.slice(s, F.lit(1), k - 1), F.array(best), F.slice(s, k + 2, F.size(s)))
                 ranks = F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(s)))
                 return F.when(best < NONE, F.struct(symbols.alias("s"), ranks.alias("r"))).otherwise(F.struct(s.alias("s"), none.alias("r")))
@@ -164,11 +181,10 @@ class Bpe:
         steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
         return F.aggregate(steps, start, step, lambda state: state["s"])
 
-    def encode(self, text: Column, common: dict[str, list[int]]) -> Column:
-        """Ids of a text; ``common`` has the ids of words that have been encoded before, tokens among them."""
-        known = text_lookup({**self.tokens, **common}, "array<int>")
+    def encode(self, text: Column, known: Column) -> Column:
+        """Ids of a text; ``known`` has the ids of tokens and of words that have been encoded before, as a struct of ``tables``."""
         words = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-        return F.flatten(F.transform(words, lambda w: F.coalesce(known(w), self.fold(w))))
+        return bound(known, lambda held: F.flatten(F.transform(words, lambda w: F.coalesce(find(held, w, F.xxhash64(w)), self.fold(w)))))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids."""
@@ -184,14 +200,25 @@ def common_words(docs: DataFrame, bpe: Bpe, sample_docs: int = SAMPLE_DOCS, most
     share = min(1.0, sample_docs / max(1, docs.count()))
     drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     words = drawn.select(F.explode(F.array_distinct(F.regexp_extract_all(text_of(), F.lit(PATTERN), F.lit(0)))).alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").where(text_lookup(bpe.tokens, "array<int>")(F.col("word")).isNull())
+    tokens = docs.sparkSession.createDataFrame(pa.table({"word": pa.array(bpe.tokens, pa.string())}))
+    often = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").join(tokens, "word", "left_anti")
     chosen = often.orderBy(F.desc("n"), "word").limit(most).select("word")
     return {r["word"]: r["ids"] for r in chosen.select("word", bpe.fold(F.col("word")).alias("ids")).collect()}
 
 
+def known_words(spark: SparkSession, bpe: Bpe, common: dict[str, list[int]]) -> Column:
+    """The ids of tokens and common words as a struct of ``tables``: a scalar subquery over one written row."""
+    held = tables({**bpe.tokens, **common}, text_number)
+    kinds = {name: pa.list_(pa.string() if name.startswith("keys") else pa.list_(pa.int32())) for name in held}
+    row = written(spark.createDataFrame(pa.table({name: pa.array([held[name]], kinds[name]) for name in held})), "bpe-words")
+    return row.select(F.struct("*")).scalar()
+
+
 def encoded(docs: DataFrame, bpe: Bpe) -> DataFrame:
     """``docs`` with ``ids``, the token ids of ``text``."""
-    return docs.withColumn("ids", bpe.encode(text_of(), common_words(docs, bpe)))
+    known = known_words(docs.sparkSession, bpe, common_words(docs, bpe))
+    # higher-order functions take no subquery; the optimizer puts it in the place of the one column that names it
+    return docs.withColumn(KNOWN, known).withColumn("ids", bpe.encode(text_of(), F.col(KNOWN))).drop(KNOWN)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
