@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -349,6 +350,41 @@ def test_language_model_tells_all_common_words_apart():
     assert math.isclose(np.exp(weights.log_p(np.full(n, 1), np.full(n, 2), np.arange(n))).sum(), 1.0, rel_tol=1e-3)
 
 
+def test_sums_by_key():
+    """The sums of a step are those of rows added one by one, and distinct keys cost no call for each of their columns."""
+    rng = np.random.default_rng(0)
+    values = rng.normal(size=(8192, 43)).astype(np.float32)
+
+    def seconds(work):
+        spent = []
+        for _ in range(5):
+            start = time.process_time()
+            work()
+            spent.append(time.process_time() - start)
+        return min(spent)
+
+    for keys in (np.minimum(rng.zipf(1.3, 8192), 100_000), rng.permutation(100_000)[:8192], np.full(8192, 7), np.array([5])):
+        used, total, n = lm._sums(keys, values[: len(keys)])
+        plain = np.zeros((100_001, 43))
+        np.add.at(plain, keys, values[: len(keys)].astype(float))
+        assert used.tolist() == sorted(set(keys.tolist())) and n.tolist() == [collections.Counter(keys.tolist())[k] for k in used.tolist()]
+        assert np.allclose(plain[used], total, rtol=1e-4, atol=2e-3)
+    keys = rng.permutation(100_000)[:8192]
+    assert seconds(lambda: lm._sums(keys, values)) < 0.7 * seconds(lambda: np.add.reduceat(values, np.arange(8192)))
+
+
+def test_language_model_large_logits():
+    """Weights beyond the range of single-precision powers still give probabilities."""
+    weights = lm.Weights.zero()
+    weights.classes[:, 3] = 200.0
+    weights.places[:, 5] = -200.0
+    n = lm.CLASSES**2
+    p = weights.log_p(np.full(n, 1), np.full(n, 2), np.arange(n))
+    assert np.isfinite(p).all() and math.isclose(np.exp(p).sum(), 1.0, rel_tol=1e-4)
+    weights.step(np.full(n, 1), np.full(n, 2), np.arange(n), 0.5)
+    assert np.isfinite(weights.classes).all() and np.isfinite(weights.places).all()
+
+
 def test_language_model_sums_to_one():
     vocab = lm.Vocabulary([lm.END, b"a", b"b"], np.array([3, 2, 2]), 10, 6)
     weights = lm.Weights.zero()

@@ -119,6 +119,34 @@ def vocabulary(table: DataFrame) -> Vocabulary:
     return Vocabulary(words, n, tokens, distinct) if END in words else Vocabulary([END], np.zeros(1, np.int64), tokens, distinct)
 
 
+def _sums(keys: np.ndarray, values: np.ndarray, few: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, rising, the sum of each one's rows of ``values``, and their number.
+
+    ``reduceat`` works column by column, a call for each key, so it is left the keys that have more than ``few`` rows. The
+    others take their rows one by one.
+    """
+    # keys and places in one number: these sort faster, and equal keys keep their order
+    bits = len(keys).bit_length()
+    ordered = np.sort((keys << bits) | np.arange(len(keys)))
+    order = ordered & ((1 << bits) - 1)
+    ordered >>= bits
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    n = np.diff(np.append(starts, len(ordered)))
+    if len(starts) == 1:
+        return ordered[:1], np.ones((1, len(values)), np.float32) @ values, n
+    total = values.take(order[starts], 0)
+    more = np.flatnonzero((n > 1) & (n <= few))
+    for k in range(1, few):
+        more = more[n[more] > k]
+        if not len(more):
+            break
+        total[more] += values.take(order[starts[more] + k], 0)
+    many = n > few
+    if many.any():
+        total[many] = np.add.reduceat(values.take(order[np.repeat(many, n)], 0), np.cumsum(n[many]) - n[many])
+    return ordered[starts], total, n
+
+
 @dataclass
 class Weights:
     """Rows of log-weights: of classes by feature, and of the parts of a class, on ``depth - 1`` levels, by feature and class."""
@@ -156,13 +184,15 @@ class Weights:
             yield table, ((rows >> np.uint64(40)) % np.uint64(len(table))).astype(np.int64), part
 
     @staticmethod
-    def _softmax(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logits less their maximum, and the logarithm of their sum of powers."""
-        z = table[rows[:, 0]]
+    def _softmax(table: np.ndarray, rows: np.ndarray, most: float = 60.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, their powers and the sums of these; less each row's largest logit where a power might leave single precision."""
+        z = table.take(rows[:, 0], 0)
         for k in range(1, FEATURES):
-            z += table[rows[:, k]]
-        z -= z.max(1, keepdims=True)
-        return z, np.log(np.exp(z).sum(1))
+            z += table.take(rows[:, k], 0)
+        if z.max() > most or z.min() < -most:
+            z -= z.max(1, keepdims=True)
+        e = np.exp(z)
+        return z, e, e @ np.ones(e.shape[1], np.float32)
 
     def log_p(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm of each token's probability."""
@@ -171,36 +201,36 @@ class Weights:
             part = slice(at, at + BATCH)
             every = np.arange(len(target[part]))
             for table, rows, wanted in self.levels(one[part], two[part], target[part]):
-                z, total = self._softmax(table, rows)
-                out[part] += z[every, wanted] - total
+                z, _, total = self._softmax(table, rows)
+                out[part] += z[every, wanted] - np.log(total)
         return out
 
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One gradient step over a batch of tokens; each row moves by its mean slope over the square root of its uses."""
         slopes = []
         for table, rows, wanted in self.levels(one, two, target):
-            z, total = self._softmax(table, rows)
-            slope = np.exp(z - total[:, None])
+            _, slope, total = self._softmax(table, rows)
+            slope *= (1 / total)[:, None]
             slope[np.arange(len(wanted)), wanted] -= 1.0
             slopes.append((table, rows, slope))
         for table, rows, slope in slopes:
             for k in range(FEATURES):
-                order = np.argsort(rows[:, k], kind="stable")
-                used = rows[order, k]
-                starts = np.flatnonzero(np.append(True, used[1:] != used[:-1]))
-                n = np.diff(np.append(starts, len(used)))
-                table[used[starts]] -= np.add.reduceat(slope[order], starts) * (rate / 4 / np.sqrt(n)).astype(np.float32)[:, None]
+                used, total, n = _sums(rows[:, k], slope)
+                total *= (-rate / 4 / np.sqrt(n)).astype(np.float32)[:, None]
+                total += table.take(used, 0)
+                whole = f"V{table[0].nbytes}"  # a row as one item
+                np.put(table.view(whole), used, total.view(whole))
 
 
 def contexts(texts: list[bytes | None], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
     """All tokens of some texts in a row: number, number before, second before, inner number; and each text's length."""
     ids, sizes = [], []
-    end = vocab.ids[END]
+    end, number = vocab.ids[END], vocab.ids.__getitem__
     for text in texts:
-        found = [vocab.ids[w] for w in words_of(text)]
-        found.append(end)
-        ids += found
-        sizes.append(len(found))
+        words = words_of(text)
+        ids += map(number, words)
+        ids.append(end)
+        sizes.append(len(words) + 1)
     token, size = np.array(ids, np.int64), np.array(sizes, np.int64)
     first = np.cumsum(size) - size
     start = -2 - SUFFIXES  # before a text
@@ -299,10 +329,10 @@ def partly_scored(docs: DataFrame, vocab: Vocabulary, weights: Weights) -> DataF
                 met = known & (words.n[np.maximum(token, 0)] > 0)
                 model_p = model.log_p(one, two, inner) / math.log(10)
                 total = lambda x: np.bincount(of, x, minlength=len(some))
-                rare = [
-                    [{"word": w, "n": n} for w, n in Counter([w for w in words_of(every[k]) if w not in words.ids]).items()] if lost else []
-                    for k, lost in zip(some, total(~known))
-                ]
+                rare = []
+                for k, lost in zip(some, np.split(~known, np.cumsum(size)[:-1])):
+                    text = words_of(every[k])
+                    rare.append([{"word": w, "n": n} for w, n in Counter([text[i] for i in np.flatnonzero(lost)]).items()])
                 columns = [
                     pa.array([all_ids[k] for k in some], pa.int64()), pa.array(size), pa.array(total(met).astype(np.int64)), pa.array(total(counted)),
                     pa.array(total(~known).astype(np.int64)), pa.array(total(model_p)), pa.array(rare, rare_type),
