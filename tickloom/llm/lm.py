@@ -113,7 +113,7 @@ class Vocabulary:
 
 def vocabulary(table: DataFrame) -> Vocabulary:
     tokens, distinct = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = table.where((F.col("n") >= max(1.0, COMMON * tokens)) | (F.col("word") == F.lit(END))).toPandas()
+    rows = table.where((F.col("n") >= max(1.0, COMMON * tokens)) | (F.col("word") == F.lit(END))).toArrow().to_pandas()
     rows = rows.sort_values(["n", "word"], ascending=[False, True], kind="stable")
     words, n = [bytes(w) for w in rows["word"]], rows["n"].to_numpy(np.int64)
     return Vocabulary(words, n, tokens, distinct) if END in words else Vocabulary([END], np.zeros(1, np.int64), tokens, distinct)
@@ -302,11 +302,13 @@ def train(docs: DataFrame, vocab: Vocabulary, *, rounds: int = 2, one_in: int |
             rows = [pa.array(total.keys(), pa.int32()), pa.array([(s / n).tobytes() for s, n in total.values()], pa.binary())]
             yield pa.RecordBatch.from_arrays(rows, names=["row", "change"])
 
-        changes = mine.mapInArrow(learn, "row int, change binary").repartition("row").mapInArrow(average, "row int, change binary").toPandas()
-        rows = changes["row"].to_numpy()
-        change = np.frombuffer(b"".join(changes["change"]), np.float32).reshape(-1, width)
-        weights.classes[rows[rows < class_rows]] += change[rows < class_rows]
-        weights.places[rows[rows >= class_rows] - class_rows] += change[rows >= class_rows]
+        changes = mine.mapInArrow(learn, "row int, change binary").repartition("row").mapInArrow(average, "row int, change binary").toArrow()
+        for batch in changes.to_batches():  # a row has one change; the driver holds them once, and a batch of them as an array
+            rows = batch.column(0).to_numpy()
+            change = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, width)
+            weights.classes[rows[rows < class_rows]] += change[rows < class_rows]
+            weights.places[rows[rows >= class_rows] - class_rows] += change[rows >= class_rows]
+        del changes
         sent.unpersist()
     return weights
 
